@@ -57,16 +57,14 @@ def search(log: DataFrame, query: list[float], dimension: int, k: int | None = 1
     return ordered if k is None else ordered.limit(k)
 
 
-def search_many(docs: DataFrame, queries: DataFrame, dimension: int, k: int = 10, metric: str = "cosine", vector: str = "vector") -> DataFrame:
+def search_many(docs: DataFrame, queries: DataFrame, dimension: int, k: int = 10, metric: str = "cosine", vector: str = "vector", blocks: int = 64) -> DataFrame:
     """``(query_id, id, score, rank)`` of a stated set of queries ``(query_id, query)`` against all ``docs`` with ``id`` and ``vector``.
 
-    Both sides are cut into a grid of blocks, and every cell is a task that keeps its k best per query, so neither side has to
-    fit anywhere: queries are repeated once per block of documents, as many as keep a block at 64 MB.
+    Documents are cut into ``blocks`` by the hash of their id, and each query is sent to each block, so neither side has to fit
+    into a task; every task keeps its own k best per query before they are merged. Set ``blocks`` to the cores of the cluster.
     """
-    spark = docs.sparkSession
-    blocks = max(1, docs.rdd.getNumPartitions())
-    d = docs.where(V.is_valid(vector, dimension)).select("id", F.col(vector).cast("array<double>").alias("v"), F.spark_partition_id().alias("block"))
-    q = queries.where(V.is_valid("query", dimension)).select("query_id", "query", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    d = docs.where(V.is_valid(vector, dimension)).select("id", F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
+    q = queries.where(V.is_valid("query", dimension)).select("query_id", "query", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"))
     pairs = d.join(q, "block").select("query_id", "id", score(metric, F.col("v"), F.col("query")).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score") if METRICS[metric] else F.asc("score"), "id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -79,14 +79,14 @@ def count_live(log: DataFrame, at: int | None = None, now: int | None = None, tt
 
 
 def count_timeline(log: DataFrame, times: list[int]) -> DataFrame:
-    """``(asof, n)``: live documents at each time, in one pass.
+    """``(as_of_ms, n)``: live documents at each time, in one pass.
 
     Every version is alive from its own place to that of its next version, but as the order of storage and of time may differ,
     each time keeps the last stored version among those it may see: one maximum per id and time, combined before the shuffle.
     """
     grid = F.explode(F.array(*[F.lit(int(t)).cast("bigint") for t in times]))
-    seen = log.where(F.col("id").isNotNull()).select("id", "deleted", "ts", "ord", grid.alias("asof")).where(F.col("ts").isNull() | (F.col("ts") <= F.col("asof")))
-    last = seen.groupBy("asof", "id").agg(F.max_by("deleted", F.struct("ord", "ts", "deleted")).alias("deleted"))
-    live = last.groupBy("asof").agg(F.count_if(~F.col("deleted")).alias("n"))
-    all_times = log.sparkSession.createDataFrame([(int(t),) for t in dict.fromkeys(times)], "asof bigint")
-    return all_times.join(live, "asof", "left").select("asof", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+    seen = log.where(F.col("id").isNotNull()).select("id", "deleted", "ts", "ord", grid.alias("as_of_ms")).where(F.col("ts").isNull() | (F.col("ts") <= F.col("as_of_ms")))
+    last = seen.groupBy("as_of_ms", "id").agg(F.max_by("deleted", F.struct("ord", "ts", "deleted")).alias("deleted"))
+    live = last.groupBy("as_of_ms").agg(F.count_if(~F.col("deleted")).alias("n"))
+    all_times = log.sparkSession.createDataFrame([(int(t),) for t in dict.fromkeys(times)], "as_of_ms bigint")
+    return all_times.join(live, "as_of_ms", "left").select("as_of_ms", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))

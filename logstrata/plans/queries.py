@@ -43,3 +43,8 @@ last AS (
 SELECT collection, id, commit_no, op_index FROM last WHERE r = 1 AND type = 'put'
 """,
 }
+
+from . import catalogue  # noqa: E402
+
+QUERIES.update(catalogue.QUERIES)
+SQL.update(catalogue.SQL)
