@@ -1,12 +1,15 @@
 """Has this key been seen before? Exactly, over a stream, with the seen keys in disk-backed state.
 
-Records are partitioned by key; the state of a key is the smallest record number seen so far, kept in RocksDB on the executors'
-disks and checkpointed to the shared folder with every batch, so a lost executor loses nothing and no executor holds all keys in
-memory. There is no watermark: a key is remembered for good, and no answer is wrong. As records arrive out of order, the answer
-for a record can change once: when a smaller number of its key turns up later, the former first one is emitted as a repeat.
+Records are partitioned by the hash of their key. The seen keys of a hash bucket are the state of one group: their 128-bit prints
+and, for each, the smallest record number so far. It's kept in RocksDB on the executors' disks and checkpointed to the shared
+folder with every batch, so a lost executor loses nothing, and only one bucket per task is in memory at a time. There is no
+watermark: a key is remembered for good. As records arrive out of order, the answer for a record can change once: when a smaller
+number of its key turns up later, the former first one is emitted as a repeat.
+
+A group per key would do the same at a call into Python per key; a bucket is merged as sorted arrays, a few calls per task.
 
 Before the shuffle each Arrow batch keeps one candidate per key. The other rows of the batch are repeats whatever the state
-holds; they go past the state under spread-out keys, so a key with a third of all rows sends one row per batch to its state.
+holds; they go past the state in groups of their own, so a key with a third of all rows sends one row per batch to its state.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +27,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..runtime import Hdfs, scratch_path
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Groups that repeats found before the shuffle are spread over, for each record number.
-_SPREAD = 1024
+#: Buckets of keys; one holds 32 bytes per key and is rewritten by each batch that touches it: raise it for billions of keys.
+BUCKETS = 2048
+#: Groups that repeats found before the shuffle are spread over, by record number.
+_SPREAD = 64
 
 
 @contextmanager
@@ -39,57 +45,52 @@ def _settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def _one_candidate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, rec_no, copies) per batch: for each key its smallest number; all others under a key of their own as sure repeats."""
-    for b in batches:
-        t = pd.DataFrame({"key": b.column(0).to_pylist(), "rec_no": b.column(1).to_numpy(zero_copy_only=False)})
-        if t.empty:
+def _split(a: np.ndarray, b: np.ndarray, numbers: np.ndarray, copies: np.ndarray):
+    """The first number of each key (a, b) with its copies, and the indexes of all other rows."""
+    order = np.lexsort((numbers, b, a))
+    a, b, numbers, copies = a[order], b[order], numbers[order], copies[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+    starts = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    first = numbers == numbers[starts][group]
+    total = np.bincount(group[first], weights=copies[first], minlength=len(starts)).astype(np.int64)
+    return (a[starts], b[starts], numbers[starts], total), (numbers[~first], copies[~first])
+
+
+def _one_candidate(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, a, b, rec_no, copies) per batch: for each key its smallest number; the others, as sure repeats, below bucket 0."""
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        least = t.groupby("key", sort=False)["rec_no"].transform("min")
-        first = (t["rec_no"] == least).to_numpy() & ~t.duplicated(["key", "rec_no"]).to_numpy()
-        # a second copy of the smallest number itself has nothing smaller before it here: it goes with the candidate
-        again = (t["rec_no"] == least).to_numpy() & ~first
-        sure = t[~first & ~again]
-        head = t[first].copy()
-        head["copies"] = 1
-        if again.any():
-            extra = t[again].groupby("key").size()
-            head["copies"] += head["key"].map(extra).fillna(0).astype("int64")
-        keys = list(head["key"]) + [b"r" + int(n % _SPREAD).to_bytes(2, "big") for n in sure["rec_no"]]
-        numbers = list(head["rec_no"]) + list(sure["rec_no"])
-        copies = list(head["copies"]) + [1] * len(sure)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.binary()), pa.array(numbers, pa.int64()), pa.array(copies, pa.int64())], names=["key", "rec_no", "copies"]
+        a, b, n = (batch.column(i).to_numpy() for i in range(3))
+        (a, b, least, copies), (others, again) = _split(a, b, n, np.ones(len(n), np.int64))
+        zero = np.zeros(len(others), np.int64)
+        columns = (
+            np.concatenate([a % buckets, -1 - others % _SPREAD]), np.concatenate([a, zero]), np.concatenate([b, zero]), np.concatenate([least, others]), np.concatenate([copies, again])
         )
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "a", "b", "rec_no", "copies"])
 
 
 def _first_or_repeat(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Emit the repeats of one key; the state is its first record number and that number's rows."""
-    if bytes(key[0])[:1] == b"r":
+    """Emit the repeats of one bucket and keep the first number of each of its keys."""
+    if key[0] < 0:
         for f in frames:
             yield pd.DataFrame({"rec_no": f["rec_no"].repeat(f["copies"])})
         return
-    first, rows = state.get if state.exists else (None, 0)
-    out: list[int] = []
-    for f in frames:
-        for n, c in zip(f["rec_no"].tolist(), f["copies"].tolist()):
-            if first is None:
-                first, rows = n, c
-            elif n < first:
-                out += [first] * rows
-                first, rows = n, c
-            elif n == first:
-                rows += c
-            else:
-                out += [n] * c
-    state.update((first, rows))
-    if out:
-        yield pd.DataFrame({"rec_no": out})
-
-
-def repeats(spark: SparkSession, path: str, out: str | None = None, checkpoint: str | None = None, max_bytes_per_trigger: int = 8 << 30) -> DataFrame:
+    held = np.frombuffer(bytes(state.get[0]), np.int64).reshape(4, -1) if state.exists else np.empty((4, 0), np.int64)
+    arrived = [f[["a", "b", "rec_no", "copies"]].to_numpy(np.int64).T for f in frames]
+    kept, (others, copies) = _split(*np.concatenate([held, *arrived], axis=1))
+    state.update((np.stack(kept).tobytes(),))
+    if len(others):
+        yield pd.DataFrame({"rec_no": np.repeat(others, copies)})
+
+
+def repeats(spark: SparkSession, path: str, out: str | None = None, checkpoint: str | None = None, max_bytes_per_trigger: int = 8 << 30, buckets: int = BUCKETS) -> DataFrame:
     """``(rec_no bigint)`` of every row of the Parquet folder ``path`` whose (collection, id) has a row of smaller rec_no.
 
+    Keys are told apart by 128 bits of hash: among a billion keys two that are confused are less likely than 1 in 10^20. A state
+    in ``checkpoint`` is bound to the number of ``buckets`` it was made with.
+
     All files there are taken now, in batches of about ``max_bytes_per_trigger``; called again with the same ``out`` and
     ``checkpoint``, only new files are read and their answers added, against everything seen before. By default both are new
     folders of the shared one.
@@ -101,10 +102,9 @@ def repeats(spark: SparkSession, path: str, out: str | None = None, checkpoint:
     out = out or scratch_path(spark, "repeats")
     checkpoint = checkpoint or scratch_path(spark, "repeats-state")
     schema = spark.read.parquet(path).select("collection", "id", "rec_no").schema
-    # "k" + presence and text of both parts, hashed only in so far as the state store does it: no two keys are confused
-    key = F.encode(
-        F.concat(F.lit("k"), F.coalesce(F.concat(F.length("collection").cast("string"), F.lit(":"), F.col("collection")), F.lit("-")), F.lit("|"), F.coalesce(F.concat(F.lit("="), F.col("id")), F.lit("-"))),
-        "UTF-8",
+    # a text that differs for different (collection, id), nulls included; its two hashes are the key's print
+    key = F.concat(
+        F.coalesce(F.concat(F.length("collection").cast("string"), F.lit(":"), F.col("collection")), F.lit("-")), F.lit("|"), F.coalesce(F.concat(F.lit("="), F.col("id")), F.lit("-"))
     )
     with _settings(
         spark,
@@ -119,10 +119,10 @@ def repeats(spark: SparkSession, path: str, out: str | None = None, checkpoint:
         source = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(max_bytes_per_trigger)).parquet(_as_stream_path(spark, path))
         answers = (
             source.where("rec_no IS NOT NULL")
-            .select(key.alias("key"), F.col("rec_no").cast("bigint").alias("rec_no"))
-            .mapInArrow(_one_candidate, "key binary, rec_no bigint, copies bigint")
-            .groupBy("key")
-            .applyInPandasWithState(_first_or_repeat, "rec_no bigint", "first bigint, n bigint", "append", GroupStateTimeout.NoTimeout)
+            .select(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b"), F.col("rec_no").cast("bigint").alias("rec_no"))
+            .mapInArrow(lambda batches: _one_candidate(batches, buckets), "bucket bigint, a bigint, b bigint, rec_no bigint, copies bigint")
+            .groupBy("bucket")
+            .applyInPandasWithState(_first_or_repeat, "rec_no bigint", "keys binary", "append", GroupStateTimeout.NoTimeout)
         )
         query = answers.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
