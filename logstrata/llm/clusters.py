@@ -188,8 +188,9 @@ def components(links: DataFrame, steps: int = 60) -> DataFrame:
     Each step gives every id the smallest label among its neighbours and itself, and then that label's own label. Written to the
     shared folder each time. The maxima of a hub are combined on the map side; a hub's links are split by the adaptive planner.
     """
-    both = links.where("a <> b").select("a", "b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialize(both, "links")
+    # written first: which links a block reports depends on the order of its rows, so both directions have to come from one run
+    links = materialize(links.where("a <> b").select("a", "b"), "links")
+    both = materialize(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), "labels")
     for _ in range(steps):
         heard = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("heard"))
