@@ -54,7 +54,7 @@ def _heads(accepted: DataFrame) -> DataFrame:
                  max(CASE WHEN is_delete THEN seq END) AS deleted_seq,
                  max(CASE WHEN is_delete OR is_replace THEN seq END) AS first_seq
           FROM {ops} GROUP BY collection, id)
-        WHERE last_seq > coalesce(deleted_seq, -1)
+        WHERE last_seq IS NOT NULL AND (deleted_seq IS NULL OR last_seq > deleted_seq)
         """,
         ops=accepted,
     )

@@ -52,7 +52,7 @@ def with_first_seen(log: DataFrame, at: int | None = None, now: int | None = Non
     One aggregation that combines on the map side. A deletion doesn't take an id out of its place.
     """
     rows = as_of(log, at).where(F.col("id").isNotNull())
-    rest = [c for c in log.columns if c != "id"]
+    rest = [c for c in log.columns if c not in ("id", "first_seen")]  # a column of that name gives way
     whole = F.struct(*[F.col(f"`{c}`") for c in rest])
     order = F.struct("ord", F.col("ts"), F.col("deleted"))
     one = rows.groupBy("id").agg(F.min("ord").alias("first_seen"), F.max_by(whole, order).alias("v"))
