@@ -49,6 +49,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, repartitioned where it has less than half as many partitions as there are cores: for scans of a few files whose
+    rows are costly to work on. Larger inputs have more partitions than that and aren't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
+
+
 class Hdfs:
     """The few filesystem calls needed besides reading and writing DataFrames, on any Hadoop URI."""
 
