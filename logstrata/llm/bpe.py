@@ -16,6 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..runtime import spread
 
 #: Vocabulary as lines of base64 token and rank.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -163,9 +166,7 @@ def encode_documents(documents: DataFrame, vocabulary: str = VOCABULARY) -> Data
         if rows:
             yield batch(rows, ids, ends)
 
-    from pyspark.sql import functions as F
-
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids array<int>")
+    return spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -178,6 +179,4 @@ def token_counts(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFram
             n = pa.array([count(text.as_py()) for text in b.column(2)], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], names=["doc_id", "source", "tokens"])
 
-    from pyspark.sql import functions as F
-
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text").mapInArrow(run, "doc_id bigint, source string, tokens bigint")
+    return spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text")).mapInArrow(run, "doc_id bigint, source string, tokens bigint")
