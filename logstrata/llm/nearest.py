@@ -31,6 +31,8 @@ from .vectors import BLOCK_ROWS, DIMENSION, MAX_CELLS, ROWS_PER_CELL, cell_count
 WORDS, EPSILON, MARGIN = 2, 3.0, 0.08
 #: Decimals of a similarity, by which vectors are ranked; ties go to the smaller id.
 DECIMALS = 6
+#: Vectors for which recall is measured.
+RECALL_QUERIES = 1000
 #: Comparisons of one tile, which bound the memory of a step.
 _TILE = 1 << 21
 
@@ -174,31 +176,37 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, margin: float =
     )
 
 
-def recall(vectors: DataFrame, found: DataFrame, k: int, least: float, every: int = 50) -> float:
-    """Part of the true answers that ``found`` has, for the vectors whose hash is divisible by ``every``, by brute force over all.
+def recall(vectors: DataFrame, found: DataFrame, k: int, least: float, queries: int = RECALL_QUERIES) -> DataFrame:
+    """One row ``(queries, answers, recalled, recall)``: the part of the true answers that ``found`` has, by brute force.
 
-    The chosen queries are compared with all vectors in batches; a query set is held by each task, so this is for measuring.
+    Measured for the ``queries`` vectors of lowest hash, against all rows; that number bounds what each task holds. Without true
+    answers the recall is 1.
     """
     spark = vectors.sparkSession
     rows = packed(vectors)
-    asked = rows.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).toArrow()
-    if not asked.num_rows:
-        return 1.0
+    asked = rows.orderBy(F.xxhash64("id", F.lit(29)), "id").limit(queries).toArrow()
     names = asked.column(0).to_pylist()
     q = spark.sparkContext.broadcast((names, np.frombuffer(b"".join(asked.column(1).to_pylist()), np.float64).reshape(len(names), -1)))
 
     def run(batches):
         ids, v = q.value
         for b in batches:
-            s = np.round(v @ np.frombuffer(b"".join(b.column(1).to_pylist()), np.float64).reshape(b.num_rows, -1).T, DECIMALS)
-            i, j = np.nonzero(s >= least)
-            other = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in i], pa.string()), pa.array([other[x] for x in j], pa.string()), pa.array(s[i, j])], names=["id", "other", "similarity"])
-
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                s = np.round(v @ np.frombuffer(b"".join(part.column(1).to_pylist()), np.float64).reshape(part.num_rows, -1).T, DECIMALS)
+                i, j = np.nonzero(s >= least)
+                other = part.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in i], pa.string()), pa.array([other[x] for x in j], pa.string()), pa.array(s[i, j])], names=["id", "other", "similarity"])
+
+    out = spark.createDataFrame([(len(names),)], "queries bigint")
+    if not names:
+        return out.selectExpr("queries", "0L AS answers", "0L AS recalled", "1D AS recall")
     w = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
     truth = rows.mapInArrow(run, "id string, other string, similarity double").where("id <> other").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
-    total = truth.count()
-    return 1.0 if not total else truth.join(found, ["id", "other"], "left_semi").count() / total
+    hit = truth.join(found.select("id", "other").distinct().withColumn("hit", F.lit(1)), ["id", "other"], "left")
+    counted = hit.agg(F.count(F.lit(1)).alias("answers"), F.count("hit").alias("recalled"))
+    return out.crossJoin(counted).select(  # one row each
+        "queries", "answers", "recalled", F.when(F.col("answers") > 0, F.col("recalled") / F.col("answers")).otherwise(1.0).alias("recall"))
 
 
 def similar_pairs(vectors: DataFrame, k: int = 5, least: float = 0.94, **how) -> DataFrame:
