@@ -18,11 +18,11 @@ def shared_dir(spark: SparkSession) -> str:
     Where the setting is absent, a temporary folder is made, which only suits a single machine; on any other master the
     setting is required, since a folder of one machine can't be read by the others.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
     master = spark.conf.get("spark.master", "")
-    if not master.startswith("local"):
+    if master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
     made = tempfile.mkdtemp(prefix="logstrata-")
     _LOCAL_DIRS.append(made)
