@@ -186,6 +186,9 @@ def recall(vectors: DataFrame, found: DataFrame, k: int, least: float, queries:
     rows = packed(vectors)
     asked = rows.orderBy(F.xxhash64("id", F.lit(29)), "id").limit(queries).toArrow()
     names = asked.column(0).to_pylist()
+    out = spark.createDataFrame([(len(names),)], "queries bigint")
+    if not names:
+        return out.selectExpr("queries", "0L AS answers", "0L AS recalled", "1D AS recall")
     q = spark.sparkContext.broadcast((names, np.frombuffer(b"".join(asked.column(1).to_pylist()), np.float64).reshape(len(names), -1)))
 
     def run(batches):
@@ -198,9 +201,6 @@ def recall(vectors: DataFrame, found: DataFrame, k: int, least: float, queries:
                 other = part.column(0).to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in i], pa.string()), pa.array([other[x] for x in j], pa.string()), pa.array(s[i, j])], names=["id", "other", "similarity"])
 
-    out = spark.createDataFrame([(len(names),)], "queries bigint")
-    if not names:
-        return out.selectExpr("queries", "0L AS answers", "0L AS recalled", "1D AS recall")
     w = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
     truth = rows.mapInArrow(run, "id string, other string, similarity double").where("id <> other").withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
     hit = truth.join(found.select("id", "other").distinct().withColumn("hit", F.lit(1)), ["id", "other"], "left")
