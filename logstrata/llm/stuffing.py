@@ -1,13 +1,15 @@
 """Pages of keywords, link lists or product tags instead of sentences.
 
-Two passes over the texts and one aggregation between them. The first pass cuts each page into lines and tells by their form which
+The first pass over the texts cuts each page into lines and tells by their form which
 are lists (links, hash tags, many short items, the same words again and again) and which are sentences; it explodes the words of
 both and the two-word phrases of the lists, and the aggregation counts the distinct hosts of each in lists and in sentences, as
 well as the hosts that open or close pages with an item (menus and footers). From these counts comes a lexicon: the log-odds of a
 word between lists and sentences, the phrases that lists of several hosts share, and the items of menus. It is learnt from the
 corpus itself, in any language and also for text that was decoded wrongly, as long as it was done so alike.
 
-The second pass scores each line by its words, by the part of it that is stitched from phrases replicated on other hosts, and by
+The lexicon is a table with every entry that is widespread enough, whatever their number. The texts are dealt into groups by hash, and
+each group gets the entries that its own texts ask for by a join, so a task holds the part of one group. Items of menus are taken
+out first, then each line is scored by its words, by the part of it that is stitched from phrases replicated on other hosts, and by
 its density of links, tags and items. A page is flagged if more than half of its characters, menu, notice, title and footer left
 aside, lie in such lines. Counts are relative to the number of hosts with lists or sentences, so they don't depend on the size of
 the crawl.
@@ -15,18 +17,18 @@ the crawl.
 
 from __future__ import annotations
 
-import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..runtime import materialize, spread
 
-#: Entries of each part of the lexicon, the most widespread first: a model of fixed size that every task holds (about 10 MB).
-LEXICON = 60_000
+#: Characters of text that share one part of the lexicon, about; they bound the entries that a task holds.
+GROUP_CHARS = 1_000_000
 #: Hosts that have to share a word, phrase or item before it counts.
 LEAST_HOSTS = 3
 #: A page is flagged above this part of its characters.
@@ -198,27 +200,33 @@ def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Lexicon:
-    """Word -> log-odds of lists against sentences; phrases that lists share; items of menus and footers."""
+    """Word -> log-odds of lists against sentences; phrases that lists share; items of menus and footers. The part that some texts need."""
 
     def __init__(self, words: dict[str, float], phrases: set[tuple[str, ...]], edges: set[str]):
         self.words, self.phrases, self.edges = words, phrases, edges
 
+    def add(self, kind: int, what: str, value: float) -> None:
+        if kind == 0:
+            self.words[what] = value
+        elif kind == 1:
+            self.phrases.add(tuple(what.split(" ")))
+        else:
+            self.edges.add(what)
+
 
-def learn(documents: DataFrame, size: int = LEXICON, least_hosts: int = LEAST_HOSTS) -> Lexicon:
-    """Count distinct hosts and pages over all documents and keep the ``size`` most widespread entries of each kind."""
+def learn(documents: DataFrame, least_hosts: int = LEAST_HOSTS) -> DataFrame:
+    """Count distinct hosts and pages over all documents: ``(kind tinyint, what string, value double)`` for every entry that
+    ``least_hosts`` hosts or more share; value is the log-odds of a word."""
     noted = spread(documents.select("host", "text")).mapInArrow(survey, "kind tinyint, what string, host string, a bigint, b bigint")
     by_host = noted.groupBy("kind", "what", "host").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     counted = materialize(
         by_host.groupBy("kind", "what").agg(F.count(F.lit(1)).alias("hosts"), F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("hosts") >= least_hosts), "shingles"
     )
-    kept = [counted.where(F.col("kind") == kind).orderBy(F.desc("hosts"), "what").limit(size) for kind in (0, 1, 2)]
-    rows = kept[0].unionByName(kept[1]).unionByName(kept[2]).collect()
-    most_a = max([r["a"] for r in rows if r["kind"] == 0], default=0) + 1
-    most_b = max([r["b"] for r in rows if r["kind"] == 0], default=0) + 1
-    words = {r["what"]: max(-4.0, min(4.0, math.log((r["b"] + 0.3) / most_b) - math.log((r["a"] + 0.3) / most_a))) for r in rows if r["kind"] == 0}
-    phrases = {tuple(r["what"].split(" ")) for r in rows if r["kind"] == 1}
-    edges = {r["what"] for r in rows if r["kind"] == 2 and r["a"] >= least_hosts and r["a"] >= 2 * r["b"]}
-    return Lexicon(words, phrases, edges)
+    most = counted.where("kind = 0").agg(F.coalesce(F.max("a"), F.lit(0)), F.coalesce(F.max("b"), F.lit(0))).first()
+    odds = F.log((F.col("b") + 0.3) / (most[1] + 1)) - F.log((F.col("a") + 0.3) / (most[0] + 1))
+    return counted.where((F.col("kind") < 2) | ((F.col("a") >= least_hosts) & (F.col("a") >= 2 * F.col("b")))).select(
+        "kind", "what", F.when(F.col("kind") == 0, F.greatest(F.lit(-4.0), F.least(F.lit(4.0), odds))).otherwise(1.0).alias("value")
+    )
 
 
 def line_score(x: Line, lex: Lexicon) -> float:
@@ -240,14 +248,15 @@ def line_score(x: Line, lex: Lexicon) -> float:
     return score
 
 
-def stuffed_share(text: str | None, lex: Lexicon) -> float:
-    """Part of the body's characters in lines of keywords, links or tags."""
-    if not text:
-        return 0.0
-    lines = page_lines(text)
+def _edge_items(text: str) -> set[tuple[int, str]]:
+    return {(2, i) for x in page_lines(text) if len(items := _items(x)) == len(x.items) for i in items}
+
+
+def body_of(text: str, lex: Lexicon) -> str:
+    """The text without menus, cookie notices, footers and title, a line each."""
     edges = lex.edges
     body = []
-    for i, x in enumerate(lines):
+    for x in page_lines(text):
         items = _items(x)
         if items and len(x.items) == len(items) and sum(it in edges for it in items) * 2 > len(items):
             continue
@@ -256,28 +265,95 @@ def stuffed_share(text: str | None, lex: Lexicon) -> float:
         body.append(x)
     if len(body) > 1 and not _END.search(body[0].text) and not body[0].strong and len(body[0].text) < 120:
         body = body[1:]  # the title
-    body = joined_runs(body)
-    total = sum(len(x.text) for x in body)
+    return "\n".join(x.text for x in body)
+
+
+def _words_and_phrases(body: str) -> set[tuple[int, str]]:
+    out: set[tuple[int, str]] = set()
+    for x in joined_runs(page_lines(body)):
+        if not x.fact:
+            out.update((0, w) for w in x.words)
+            out.update((1, " ".join(p)) for p in zip(x.words, x.words[1:]))
+    return out
+
+
+def body_share(body: str, lex: Lexicon) -> float:
+    """Part of the body's characters in lines of keywords, links or tags."""
+    lines = joined_runs(page_lines(body))
+    total = sum(len(x.text) for x in lines)
     if total < 40:
         return 0.0
-    return sum(len(x.text) for x in body if line_score(x, lex) > 0) / total
+    return sum(len(x.text) for x in lines if line_score(x, lex) > 0) / total
 
 
-def stuffed_shares(documents: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
-    """``(doc_id bigint, share double)`` of every row; 0 for null, empty and blank texts. Repeated rows answer each."""
-    lexicon = lexicon or learn(documents)
-    shipped = documents.sparkSession.sparkContext.broadcast(lexicon)  # three times LEXICON entries at most
+def grouped(documents: DataFrame, group_chars: int = GROUP_CHARS) -> DataFrame:
+    """``documents`` with a column ``part int``, a group of about ``group_chars`` characters by the hash of the row."""
+    chars = documents.agg(F.sum(F.length("text"))).first()[0] or 0
+    return documents.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 + chars // group_chars)).cast("int"))
+
+
+def with_lexicon(pages: DataFrame, lexicon: DataFrame, wanted: Callable, work: Callable, name: str, kind: T.DataType) -> DataFrame:
+    """``pages`` with a text column ``name`` in place of ``text``: ``work(text, lexicon)`` of each, where the lexicon holds the entries
+    among ``wanted(text)``, a set of (kind, what).
+
+    A group's texts ask for each entry once, whatever their number, so a word of all pages has one row per group in the join. Within a task
+    the entries of a group come first and its texts stream past them.
+    """
+    spark = pages.sparkSession
+    rest = [c for c in pages.columns if c not in ("part", "text")]
+    pages = pages.select("part", "text", *rest)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            asked: dict[int, set] = {}
+            for part, text in zip(b.column(0).to_pylist(), b.column(1)):
+                if text := text.as_py():
+                    asked.setdefault(part, set()).update(wanted(text))
+            rows = [(part, *key) for part, keys in asked.items() for key in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 3, (pa.int32(), pa.int8(), pa.string()))], names=["part", "kind", "what"])
+
+    asked = spread(pages.select("part", "text")).mapInArrow(ask, "part int, kind tinyint, what string").distinct()
+    none = [F.lit(None).cast(pages.schema[c].dataType).alias(c) for c in rest]
+    entries = asked.join(lexicon, ["kind", "what"]).select("part", F.lit(0).alias("role"), F.lit(None).cast("string").alias("text"), "kind", "what", "value", *none)
+    texts = pages.select("part", F.lit(1).alias("role"), "text", F.lit(None).cast("tinyint").alias("kind"), F.lit(None).cast("string").alias("what"), F.lit(None).cast("double").alias("value"), *rest)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    together = entries.unionByName(texts).repartition(parts, "part").sortWithinPartitions("part", "role")
+    out = T.StructType([T.StructField("part", T.IntegerType()), T.StructField(name, kind), *(pages.schema[c] for c in rest)])
+    result = pa.float64() if kind == T.DoubleType() else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = shipped.value
+        at, lex = None, Lexicon({}, set(), set())
         for b in batches:
-            shares = [stuffed_share(t.as_py(), lex) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shares, pa.float64())], names=["doc_id", "share"])
+            made, kept = [], []
+            for i, (part, role, text, *entry) in enumerate(zip(*(b.column(i).to_pylist() for i in range(6)))):
+                if part != at:
+                    at, lex = part, Lexicon({}, set(), set())
+                if role == 0:
+                    lex.add(*entry)
+                else:
+                    made.append(work(text, lex) if text else work("", lex))
+                    kept.append(i)
+            kept = pa.array(kept, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(kept), pa.array(made, result), *(b.column(6 + i).take(kept) for i in range(len(rest)))], names=out.names)
+
+    return together.mapInArrow(run, out)
+
 
-    return spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(run, "doc_id bigint, share double")
+def bodies(documents: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """The rows of ``documents`` with their text less menus, notices, title and footer, as learnt in ``lexicon``, and their group."""
+    edges = lexicon.where("kind = 2")
+    return materialize(with_lexicon(grouped(documents), edges, _edge_items, body_of, "text", T.StringType()), "bodies")
+
+
+def stuffed_shares(documents: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """``(doc_id bigint, share double)`` of every row; 0 for null, empty and blank texts. Repeated rows answer each."""
+    if lexicon is None:
+        lexicon = learn(documents)
+    pages = bodies(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), lexicon)
+    return with_lexicon(pages, lexicon.where("kind < 2"), _words_and_phrases, body_share, "share", T.DoubleType()).select("doc_id", "share")
 
 
-def stuffed_pages(documents: DataFrame, share: float = SHARE, lexicon: Lexicon | None = None) -> DataFrame:
+def stuffed_pages(documents: DataFrame, share: float = SHARE, lexicon: DataFrame | None = None) -> DataFrame:
     """``(doc_id)`` of the pages with more than ``share`` of their text in keywords, link lists or product tags.
 
     Learns the lexicon from the same documents unless one is given. Mirrors are judged like any page. Lists of plain facts

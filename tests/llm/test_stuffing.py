@@ -55,3 +55,27 @@ def test_repetition_is_measured_in_windows():
     assert stuffing.distinct_part(["a", "b"] * 50) < 0.2
     assert stuffing.distinct_part([f"w{i % 40}" for i in range(400)]) == 1.0
     assert stuffing.distinct_part([]) == 1.0
+
+
+def test_no_entry_of_the_lexicon_is_dropped(spark):
+    # more words, each on the same number of hosts, than any fixed size would hold
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(60_999)] + ["яблоки"]
+    lists = [", ".join(words[at : at + 50]) for at in range(0, len(words), 50)]
+    page = lambda h: "Start here\n" + "This opening line is long enough to show where the page begins.\n" + "\n".join(lists) + "\nThe end"
+    df = spark.createDataFrame([(h, f"h{h}.example", page(h), 1.0, 1) for h in range(3)], SCHEMA)
+    got = {r.what for r in stuffing.learn(df).where("kind = 0").collect()}
+    assert set(words) <= got
+
+
+def test_entries_are_joined_to_the_groups_that_need_them(spark):
+    rows, spam = corpus()
+    df = spark.createDataFrame([(*x, 1.0, 1) for x in rows], SCHEMA)
+    parts = stuffing.grouped(df, 10_000)
+    assert parts.select("part").distinct().count() > 5
+    lexicon = stuffing.learn(df)
+    whole = stuffing.Lexicon({}, set(), set())
+    for r in lexicon.collect():
+        whole.add(r.kind, r.what, r.value)
+    texts = stuffing.with_lexicon(parts.select("doc_id", "text", "part"), lexicon.where("kind = 2"), stuffing._edge_items, stuffing.body_of, "text", stuffing.T.StringType())
+    got = {r.doc_id: r.share for r in stuffing.with_lexicon(texts, lexicon.where("kind < 2"), stuffing._words_and_phrases, stuffing.body_share, "share", stuffing.T.DoubleType()).collect()}
+    assert got == {i: stuffing.body_share(stuffing.body_of(t, whole), whole) for i, _, t in rows}
