@@ -12,7 +12,9 @@ EPSILON errors reaches the k-th best exact similarity so far (and the least simi
 within that confidence.
 
 The loss is twofold: pairs in cells that aren't probed, and estimates wrong by more than EPSILON errors. `recall` measures both
-against brute force.
+against brute force. Only pairs of PROBED_LEAST or more lie within the probed band; the neighbours of a vector that is like no other
+lie in any cell. So below that limit all vectors ask all blocks, which is a number of comparisons quadratic in the vectors; where the
+codes leave much of a block to compare, it's compared exactly as a whole.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from .vectors import BLOCK_ROWS, DIMENSION, MAX_CELLS, ROWS_PER_CELL, cell_count
 
 #: Words of 64 bits per code; errors allowed for; width of the band around a cell in which its neighbours are asked too.
 WORDS, EPSILON, MARGIN = 2, 3.0, 0.08
+#: Least similarity that MARGIN is sized for.
+PROBED_LEAST = 0.94
 #: Decimals of a similarity, by which vectors are ranked; ties go to the smaller id.
 DECIMALS = 6
 #: Vectors for which recall is measured.
@@ -102,20 +106,31 @@ class Searcher:
         error *= np.outer(c.length, base.length).astype(np.float32) * np.float32(self.epsilon)
         upper = np.minimum(estimate + error, 1) + 1e-5
         maybe = upper >= self.least
-        maybe &= self.names[None, :] != names[:, None]
-        many = np.flatnonzero(maybe.sum(1) > 4 * self.k)
+        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        own = np.flatnonzero(self.names[at] == names)
+        maybe[own, at[own]] = False
+        bar = np.full(len(q), self.least)
+        many = np.flatnonzero(maybe.sum(1) > 16 * self.k)
         if len(many):
-            guess = np.where(maybe[many], estimate[many], -9)
-            best = np.argpartition(-guess, self.k, axis=1)[:, : self.k]
-            rows = np.repeat(many, self.k)
-            exact = self._exact(q, rows, best.ravel()).reshape(-1, self.k)
-            maybe[many] &= upper[many] >= exact.min(1)[:, None] - 2e-6
-        rows, cols = np.nonzero(maybe)
-        if not len(rows):
-            return
-        similar = self._exact(q, rows, cols)
-        keep = similar >= self.least
-        rows, cols, similar = rows[keep], cols[keep], similar[keep]
+            few = 16 * self.k
+            guess = np.where(maybe[many], estimate[many], np.float32(-9))
+            best = np.argpartition(-guess, few, axis=1)[:, :few]
+            rows = np.repeat(many, few)
+            exact = self._exact(q, rows, best.ravel()).reshape(-1, few)
+            bar[many] = np.maximum(self.least, np.partition(exact, few - self.k, axis=1)[:, few - self.k])
+            maybe[many] &= upper[many] >= bar[many, None] - 2e-6
+        if 32 * np.count_nonzero(maybe) > maybe.size:
+            every = q @ self.vectors.T
+            every[own, at[own]] = -9
+            rows, cols = np.nonzero(every >= bar[:, None] - 10.0**-DECIMALS)
+            similar = np.round(every[rows, cols], DECIMALS)
+            keep = similar >= bar[rows]
+            rows, cols, similar = rows[keep], cols[keep], similar[keep]
+        else:
+            rows, cols = np.nonzero(maybe)
+            similar = self._exact(q, rows, cols)
+            keep = similar >= bar[rows]
+            rows, cols, similar = rows[keep], cols[keep], similar[keep]
         if not len(rows):
             return
         order = np.lexsort((cols, -similar, rows))  # columns are in order of id
@@ -131,15 +146,19 @@ class Searcher:
         return iter(())
 
 
-def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, margin: float = MARGIN, words: int = WORDS, epsilon: float = EPSILON,
-            rows_per_cell: int = ROWS_PER_CELL, max_cells: int = MAX_CELLS, block_rows: int = BLOCK_ROWS, dimension: int = DIMENSION) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, margin: float | None = None, words: int = WORDS, epsilon: float = EPSILON,
+            rows_per_cell: int | None = None, max_cells: int = MAX_CELLS, block_rows: int = BLOCK_ROWS, dimension: int = DIMENSION) -> DataFrame:
     """``(id, other, similarity, rank)``: for each row of ``(id, vector)`` its ``k`` most similar other rows, best first.
 
     Similarity is the cosine, rounded to 6 decimals; ties go to the smaller id. Only similarities of ``least`` or more are
     listed. The ids have to be unique and the vectors usable, see `vectors.current_vectors`. Equal vectors are searched
     once: of a group of equals the k + 1 smallest ids stand for all, as no list can hold more of them, so a vector that a third of
-    all rows share costs nothing more, and every member still gets its own list. An empty table gives no rows.
+    all rows share costs nothing more, and every member still gets its own list. An empty table gives no rows. By default the cells
+    within MARGIN are asked if ``least`` is PROBED_LEAST or more, else all, cut as large as a block.
     """
+    probed = least >= PROBED_LEAST
+    margin = margin if margin is not None else MARGIN if probed else np.inf
+    rows_per_cell = rows_per_cell or (ROWS_PER_CELL if probed or margin < np.inf else block_rows)
     spark = vectors.sparkSession
     mark = [F.xxhash64("vec").alias("m1"), F.xxhash64("vec", F.lit(1)).alias("m2")]
     all_rows = materialize(packed(vectors, dimension).select("id", "vec", *mark), "vectors")
@@ -197,7 +216,10 @@ def recall(vectors: DataFrame, found: DataFrame, k: int, least: float, queries:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
                 s = np.round(v @ np.frombuffer(b"".join(part.column(1).to_pylist()), np.float64).reshape(part.num_rows, -1).T, DECIMALS)
-                i, j = np.nonzero(s >= least)
+                bar = np.full((len(s), 1), least)
+                if part.num_rows > k + 1:  # a vector itself may be among the k + 1 best
+                    bar = np.maximum(least, np.partition(s, part.num_rows - k - 1, axis=1)[:, part.num_rows - k - 1, None])
+                i, j = np.nonzero(s >= bar)
                 other = part.column(0).to_pylist()
                 yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in i], pa.string()), pa.array([other[x] for x in j], pa.string()), pa.array(s[i, j])], names=["id", "other", "similarity"])
 

@@ -133,3 +133,14 @@ def test_hashed_features_of_texts(spark):
     assert got["a"] == pytest.approx(got["b"]) and got["a"] != got["c"] and any(got["a"])
     members = clusters.clusters(vectors.current_vectors(spark.createDataFrame([(i, 1, v, 1, "x") for i, v in got.items()], SCHEMA)))
     assert sorted(tuple(r) for r in members.collect()) == [("a", "a"), ("a", "b")]
+
+
+def test_every_vector_gets_its_nearest_without_a_limit(spark):
+    r = np.random.default_rng(4)
+    rows = grouped(4) + [(f"q{i}", r.standard_normal(64).tolist()) for i in range(1100)]
+    df = vectors.current_vectors(spark.createDataFrame([(i, 1, v, 1, "x") for i, v in rows], SCHEMA))
+    want = brute_nearest(rows, 5, -1.0)
+    for blocks in (16_384, 200):
+        got = {(x.id, x.other, x["rank"]) for x in nearest.nearest(df, 5, block_rows=blocks).collect()}
+        assert len(got) == len(want) == 5 * len(rows) and len(got & want) >= 0.99 * len(want)
+    assert nearest.recall(df, nearest.nearest(df, 5), 5, -1.0, 100).first().recall >= 0.99
