@@ -44,7 +44,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 # Scripts written without blanks are cut into overlapping pairs of characters.
 _DENSE = re.compile("[぀-ヿ㐀-鿿]")
 _URL = re.compile(r"(?:https?://|www\.)[^\s)\]]+|\b(?:[a-z0-9-]+\.)+[a-z]{2,}(?:/[^\s)\]]*)?(?=$|[\s)\],;])", re.I)
-_HOSTLIKE = re.compile(r"[a-z0-9]\.[a-z]{2}", re.I)
+# lets pass every line without :// that _URL can match
+_HOSTLIKE = re.compile(r"[a-z0-9-]\.[a-z]{2}|www\.", re.I)
 _SEPARATORS = (*",;|*·•/>»、，｜・", " - ", " – ", " — ", "  ")
 _TAG = re.compile(r"#\w{2,}")
 _ITEM = re.compile(r"\s*[,;|*·•/>»、，｜・]+\s*|\s+[-–—]\s+|\s{2,}")

@@ -89,3 +89,9 @@ def test_all_lines_of_short_and_list_pages_are_counted(spark):
     got = {(r.kind, r.what) for r in stuffing.learn(df).collect()}
     assert {(1, p) for p in ring if p.count(" ") == 1} <= got and (0, "lamps") in got and (0, "zeppelin") in got
     assert not {(2, p) for p in ring} & got and (2, "news") in got
+
+
+def test_links_to_internationalised_hosts_are_counted():
+    x = stuffing.Line("www.пример.рф/а www.例え.テスト/b WWW.пример.рф/в")
+    assert x.links == 3 and x.strong
+    assert stuffing.Line("shop-.example").links == 1
