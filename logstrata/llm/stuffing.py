@@ -158,47 +158,46 @@ def joined_runs(lines: list[Line]) -> list[Line]:
     return out
 
 
-def _edges_and_body(text: str) -> Iterator[tuple[int, set, set]]:
-    """Items of the first and last line, and of the lists between them. Short lines that lead to the first long one may be a menu
-    over several lines and count as neither; on a page without long lines all count. Two lines or less have no edge."""
-    lines = page_lines(text)
-    start = next((i for i, x in enumerate(lines) if i and _long(x) and not _COOKIE.search(x.text)), 1)
-    edge: set[str] = set()
-    inner = lines
-    if len(lines) > 2:
-        edge.update(_items(lines[0]), _items(lines[-1]))
-        inner = lines[min(start, 24) : -1]
-    yield 2, edge, {i for x in joined_runs(inner) if x.list for i in _items(x)}
-
-
-def _said_and_listed(body: str) -> Iterator[tuple[int, set, set]]:
-    """Words of sentences and of lists, and phrases of lists, in all lines of a body."""
-    said, listed, phrases = set(), set(), set()
-    for x in joined_runs(page_lines(body)):
-        if x.sentence:
-            said.update(x.words)
-        elif x.list:
-            listed.update(x.words)
-            phrases.update(" ".join(p) for p in zip(x.words, x.words[1:]))
-    yield 0, said, listed
-    yield 1, set(), phrases
-
-
-def survey(batches: Iterator[pa.RecordBatch], parts: Callable) -> Iterator[pa.RecordBatch]:
-    """(kind, what, host, a, b) from (host, text): 0 words with the pages that have them in sentences and in lists, 1 phrases of lists,
-    2 items with the pages that have them at the edge and in the body, as ``parts(text)`` gives them; each once per batch and host."""
+def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, what, host, a, b): 0 words with the pages that have them in sentences and in lists, 1 phrases of lists, 2 items
+    with the pages that have them at the edge and in the body; each once per batch and host."""
     for batch in batches:
-        seen: dict[tuple, list[int]] = {}
+        seen: dict[str, tuple[dict, dict, dict]] = {}
         for host, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            if not (text := text.as_py()):
+            text = text.as_py()
+            if not text:
+                continue
+            tables = seen.setdefault(host or "", ({}, {}, {}))
+            lines = page_lines(text)
+            if not lines:
                 continue
-            for kind, first, second in parts(text):
+            start = next((i for i, x in enumerate(lines) if i and _long(x) and not _COOKIE.search(x.text)), len(lines))
+            said, listed, phrases, edge, body = set(), set(), set(), set(), set()
+            edge.update(_items(lines[0]), _items(lines[-1]))
+            for x in joined_runs(lines[min(start, 24) : -1]):
+                if x.sentence:
+                    said.update(x.words)
+                elif x.list:
+                    listed.update(x.words)
+                    phrases.update(zip(x.words, x.words[1:]))
+                    body.update(_items(x))
+            for table, first, second in ((tables[0], said, listed), (tables[1], (), phrases), (tables[2], edge, body)):
                 for at, found in enumerate((first, second)):
                     for w in found:
-                        seen.setdefault((kind, w, host or ""), [0, 0])[at] += 1
-        rows = [(*key, *n) for key, n in seen.items()]
+                        if w in table:
+                            table[w][at] += 1
+                        else:
+                            table[w] = [1 - at, at]
+        rows: list[list] = [[], [], [], [], []]
+        for host, tables in seen.items():
+            for kind, table in enumerate(tables):
+                rows[0] += [kind] * len(table)
+                rows[1] += map(" ".join, table) if kind == 1 else table
+                rows[2] += [host] * len(table)
+                rows[3] += [v[0] for v in table.values()]
+                rows[4] += [v[1] for v in table.values()]
         types = (pa.int8(), pa.string(), pa.string(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, types)], names=["kind", "what", "host", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=["kind", "what", "host", "a", "b"])
 
 
 class Lexicon:
@@ -216,24 +215,14 @@ class Lexicon:
             self.edges.add(what)
 
 
-def _counted(pages: DataFrame, parts: Callable, least_hosts: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return survey(batches, parts)
-
-    noted = spread(pages.select("host", "text")).mapInArrow(run, "kind tinyint, what string, host string, a bigint, b bigint")
+def learn(documents: DataFrame, least_hosts: int = LEAST_HOSTS) -> DataFrame:
+    """Count distinct hosts and pages over all documents: ``(kind tinyint, what string, value double)`` for every entry that
+    ``least_hosts`` hosts or more share; value is the log-odds of a word."""
+    noted = spread(documents.select("host", "text")).mapInArrow(survey, "kind tinyint, what string, host string, a bigint, b bigint")
     by_host = noted.groupBy("kind", "what", "host").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    return materialize(
+    counted = materialize(
         by_host.groupBy("kind", "what").agg(F.count(F.lit(1)).alias("hosts"), F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("hosts") >= least_hosts), "shingles"
     )
-
-
-def learn(documents: DataFrame, least_hosts: int = LEAST_HOSTS) -> DataFrame:
-    """Count distinct hosts and pages over all documents: ``(kind tinyint, what string, value double)`` for every entry that
-    ``least_hosts`` hosts or more share; value is the log-odds of a word. The items of menus and footers are counted first, and words
-    and phrases in all lines that are left without them."""
-    items = _counted(documents, _edges_and_body, least_hosts)
-    pages = bodies(documents.select("doc_id", "host", "text"), items.where((F.col("a") >= least_hosts) & (F.col("a") >= 2 * F.col("b"))).select("kind", "what", F.lit(1.0).alias("value")))
-    counted = _counted(pages, _said_and_listed, least_hosts).unionByName(items)
     most = counted.where("kind = 0").agg(F.coalesce(F.max("a"), F.lit(0)), F.coalesce(F.max("b"), F.lit(0))).first()
     odds = F.log((F.col("b") + 0.3) / (most[1] + 1)) - F.log((F.col("a") + 0.3) / (most[0] + 1))
     return counted.where((F.col("kind") < 2) | ((F.col("a") >= least_hosts) & (F.col("a") >= 2 * F.col("b")))).select(

@@ -81,16 +81,6 @@ def test_entries_are_joined_to_the_groups_that_need_them(spark):
     assert got == {i: stuffing.body_share(stuffing.body_of(t, whole), whole) for i, _, t in rows}
 
 
-def test_all_lines_of_short_and_list_pages_are_counted(spark):
-    ring = [f"{m} {w}" for w in WORDS for m in MODS[:2]]
-    pages = [(h, f"h{h}.example", "\n".join(ring[h:] + ring[:h])) for h in range(5)]
-    pages += [(10 + h, f"h{h}.example", "Home | News | Help\nThe keeper of the mill refused to sign the paper after the first frost of the year.\nNobody at the station measured the zeppelin with help from two friends.") for h in range(5)]
-    df = spark.createDataFrame([(*x, 1.0, 1) for x in pages], SCHEMA)
-    got = {(r.kind, r.what) for r in stuffing.learn(df).collect()}
-    assert {(1, p) for p in ring if p.count(" ") == 1} <= got and (0, "lamps") in got and (0, "zeppelin") in got
-    assert not {(2, p) for p in ring} & got and (2, "news") in got
-
-
 def test_links_to_internationalised_hosts_are_counted():
     x = stuffing.Line("www.пример.рф/а www.例え.テスト/b WWW.пример.рф/в")
     assert x.links == 3 and x.strong
