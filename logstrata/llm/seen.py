@@ -1,36 +1,30 @@
-"""Has this key been seen before? Exactly, over a stream, with the seen keys in disk-backed state.
-
-Records are partitioned by the hash of their key. The seen keys of a hash bucket are the state of one group: their 128-bit prints
-and, for each, the smallest record number so far. It's kept in RocksDB on the executors' disks and checkpointed to the shared
-folder with every batch, so a lost executor loses nothing, and only one bucket per task is in memory at a time. There is no
-watermark: a key is remembered for good. As records arrive out of order, the answer for a record can change once: when a smaller
-number of its key turns up later, the former first one is emitted as a repeat.
-
-A group per key would do the same at a call into Python per key; a bucket is merged as sorted arrays, a few calls per task.
-
-Before the shuffle each Arrow batch keeps one candidate per key. The other rows of the batch are repeats whatever the state
-holds; they go past the state in groups of their own, so a key with a third of all rows sends one row per batch to its state.
+"""Has this key been seen before? Exactly, over a stream, with every seen key in disk-backed state of its own.
+
+Records are partitioned by the 128-bit print of their key. A streaming aggregation keeps, per key, the smallest record number so
+far and how often the key came; its state is in RocksDB on the executors' disks and checkpointed to the shared folder with every
+batch, so a lost executor loses nothing. There is no watermark: a key is remembered for good. All of that runs in the JVM, and a
+batch reads and writes the state of the keys that arrive in it, however many others are remembered.
+
+A batch emits the first record of each key that it touched. A record is a repeat if its number is above its key's first; as
+records arrive out of order, that is decided by the last first emitted. Equal keys are combined before the state's shuffle, so a
+key with a third of all rows sends one row per task to its state. Where the records meet their firsts, keys that make up a
+thousandth of all rows or more, so a thousand at most, are broadcast, and their records stay where they are; the others are joined
+by key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from contextlib import contextmanager
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..runtime import Hdfs, scratch_path
+from ..runtime import Hdfs, materialize, scratch_path
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-#: Buckets of keys; one holds 32 bytes per key and is rewritten by each batch that touches it: raise it for billions of keys.
-BUCKETS = 2048
-#: Groups that repeats found before the shuffle are spread over, by record number.
-_SPREAD = 64
+#: A key is hot if it makes up one of so many parts of all rows; as many keys can be hot at most.
+HOT = 1000
+_FIRSTS = "a bigint, b bigint, first bigint, times bigint"
 
 
 @contextmanager
@@ -45,67 +39,28 @@ def _settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def _split(a: np.ndarray, b: np.ndarray, numbers: np.ndarray, copies: np.ndarray):
-    """The first number of each key (a, b) with its copies, and the indexes of all other rows."""
-    order = np.lexsort((numbers, b, a))
-    a, b, numbers, copies = a[order], b[order], numbers[order], copies[order]
-    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-    starts = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
-    first = numbers == numbers[starts][group]
-    total = np.bincount(group[first], weights=copies[first], minlength=len(starts)).astype(np.int64)
-    return (a[starts], b[starts], numbers[starts], total), (numbers[~first], copies[~first])
-
-
-def _one_candidate(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """(bucket, a, b, rec_no, copies) per batch: for each key its smallest number; the others, as sure repeats, below bucket 0."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b, n = (batch.column(i).to_numpy() for i in range(3))
-        (a, b, least, copies), (others, again) = _split(a, b, n, np.ones(len(n), np.int64))
-        zero = np.zeros(len(others), np.int64)
-        columns = (
-            np.concatenate([a % buckets, -1 - others % _SPREAD]), np.concatenate([a, zero]), np.concatenate([b, zero]), np.concatenate([least, others]), np.concatenate([copies, again])
-        )
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["bucket", "a", "b", "rec_no", "copies"])
-
-
-def _first_or_repeat(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Emit the repeats of one bucket and keep the first number of each of its keys."""
-    if key[0] < 0:
-        for f in frames:
-            yield pd.DataFrame({"rec_no": f["rec_no"].repeat(f["copies"])})
-        return
-    held = np.frombuffer(bytes(state.get[0]), np.int64).reshape(4, -1) if state.exists else np.empty((4, 0), np.int64)
-    arrived = [f[["a", "b", "rec_no", "copies"]].to_numpy(np.int64).T for f in frames]
-    kept, (others, copies) = _split(*np.concatenate([held, *arrived], axis=1))
-    state.update((np.stack(kept).tobytes(),))
-    if len(others):
-        yield pd.DataFrame({"rec_no": np.repeat(others, copies)})
-
-
-def repeats(spark: SparkSession, path: str, out: str | None = None, checkpoint: str | None = None, max_bytes_per_trigger: int = 8 << 30, buckets: int = BUCKETS) -> DataFrame:
-    """``(rec_no bigint)`` of every row of the Parquet folder ``path`` whose (collection, id) has a row of smaller rec_no.
-
-    Keys are told apart by 128 bits of hash: among a billion keys two that are confused are less likely than 1 in 10^20. A state
-    in ``checkpoint`` is bound to the number of ``buckets`` it was made with.
-
-    All files there are taken now, in batches of about ``max_bytes_per_trigger``; called again with the same ``out`` and
-    ``checkpoint``, only new files are read and their answers added, against everything seen before. By default both are new
-    folders of the shared one.
+def prints(records: DataFrame) -> DataFrame:
+    """``(a, b, rec_no)``: the 128-bit print of the key (collection, id) of each record with a number.
 
-    Rows without rec_no have no place in the order and give no answer; a null collection or id is a key like any other. Rows
-    that repeat the smallest rec_no aren't repeats, as nothing smaller precedes them; other rows answer once each. An empty
-    table gives no rows, and columns besides the three aren't read.
+    The hashed text differs for different (collection, id), nulls included, which are keys like any other.
     """
-    out = out or scratch_path(spark, "repeats")
-    checkpoint = checkpoint or scratch_path(spark, "repeats-state")
-    schema = spark.read.parquet(path).select("collection", "id", "rec_no").schema
-    # a text that differs for different (collection, id), nulls included; its two hashes are the key's print
     key = F.concat(
         F.coalesce(F.concat(F.length("collection").cast("string"), F.lit(":"), F.col("collection")), F.lit("-")), F.lit("|"), F.coalesce(F.concat(F.lit("="), F.col("id")), F.lit("-"))
     )
+    return records.where("rec_no IS NOT NULL").select(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b"), F.col("rec_no").cast("bigint").alias("rec_no"))
+
+
+def remember(spark: SparkSession, path: str, out: str, checkpoint: str, max_bytes_per_trigger: int = 8 << 30) -> list[dict]:
+    """Take the files of the Parquet folder ``path`` that ``checkpoint`` hasn't seen into the state, in batches of about
+    ``max_bytes_per_trigger``, and write the firsts of the keys each batch touches to ``out``. Returns the progress of each batch.
+
+    A batch that is repeated after a failure replaces what it wrote.
+    """
+    schema = spark.read.parquet(path).select("collection", "id", "rec_no").schema
+
+    def emit(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
     with _settings(
         spark,
         {
@@ -117,18 +72,47 @@ def repeats(spark: SparkSession, path: str, out: str | None = None, checkpoint:
         },
     ):
         source = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(max_bytes_per_trigger)).parquet(_as_stream_path(spark, path))
-        answers = (
-            source.where("rec_no IS NOT NULL")
-            .select(F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1), key).alias("b"), F.col("rec_no").cast("bigint").alias("rec_no"))
-            .mapInArrow(lambda batches: _one_candidate(batches, buckets), "bucket bigint, a bigint, b bigint, rec_no bigint, copies bigint")
-            .groupBy("bucket")
-            .applyInPandasWithState(_first_or_repeat, "rec_no bigint", "keys binary", "append", GroupStateTimeout.NoTimeout)
-        )
-        query = answers.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        firsts = prints(source).groupBy("a", "b").agg(F.min("rec_no").alias("first"), F.count(F.lit(1)).alias("times"))
+        query = firsts.writeStream.foreachBatch(emit).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
-    if not Hdfs(spark, out).exists(f"{out}/_spark_metadata"):
-        return spark.createDataFrame([], "rec_no bigint")
-    return spark.read.schema("rec_no bigint").parquet(out)
+        return [dict(p) for p in query.recentProgress]
+
+
+def firsts_of(spark: SparkSession, out: str) -> DataFrame:
+    """``(a, b, first, times)``, one row for each key remembered in ``out``: what was emitted of it last."""
+    if not any(name.startswith("batch=") for name, _ in Hdfs(spark, out).files(out)):
+        return spark.createDataFrame([], _FIRSTS)
+    emitted = spark.read.schema(_FIRSTS).option("basePath", out).parquet(f"{out}/batch=*")
+    return emitted.groupBy("a", "b").agg(F.min("first").alias("first"), F.max("times").alias("times"))
+
+
+def later_than_first(keyed: DataFrame, firsts: DataFrame) -> DataFrame:
+    """``(rec_no)`` of the rows of `prints` that are above the first of their key."""
+    total = firsts.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    hot = firsts.where(F.col("times") * HOT >= total).select("a", "b", F.col("first").alias("hot"))
+    met = keyed.join(F.broadcast(hot), ["a", "b"], "left")  # HOT rows at most
+    direct = met.where(F.col("rec_no") > F.col("hot")).select("rec_no")
+    rest = met.where(F.col("hot").isNull()).select("a", "b", "rec_no").join(firsts.where(F.col("times") * HOT < total).select("a", "b", "first"), ["a", "b"])
+    return direct.unionByName(rest.where(F.col("rec_no") > F.col("first")).select("rec_no"))
+
+
+def repeats(spark: SparkSession, path: str, out: str | None = None, checkpoint: str | None = None, max_bytes_per_trigger: int = 8 << 30) -> DataFrame:
+    """``(rec_no bigint)`` of every row of the Parquet folder ``path`` whose (collection, id) has a row of smaller rec_no.
+
+    Keys are told apart by 128 bits of hash: among a billion keys two that are confused are less likely than 1 in 10^20.
+
+    Called again with the same ``out`` and ``checkpoint``, only new files are taken into the state, and the answers are those
+    for all rows of ``path`` against everything remembered, also from files that are gone since. By default both are new folders
+    of the shared one.
+
+    Rows without rec_no have no place in the order and give no answer; a null collection or id is a key like any other. Rows
+    that repeat the smallest rec_no aren't repeats, as nothing smaller precedes them; other rows answer once each. An empty
+    table gives no rows, and columns besides the three aren't read.
+    """
+    out = out or scratch_path(spark, "firsts")
+    checkpoint = checkpoint or scratch_path(spark, "firsts-state")
+    remember(spark, path, out, checkpoint, max_bytes_per_trigger)
+    return later_than_first(prints(spark.read.parquet(path)), materialize(firsts_of(spark, out), "firsts-of"))
 
 
 def _as_stream_path(spark: SparkSession, path: str) -> str:

@@ -20,8 +20,9 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_records_out_of_order_over_several_runs(spark, tmp_path, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(1, 1000), (2, 10), (3, 0)])
+def test_records_out_of_order_over_several_runs(spark, tmp_path, monkeypatch, seed, hot):
+    monkeypatch.setattr(seen, "HOT", hot)
     r = random.Random(seed)
     keys = [("a", "hot")] * 30 + [(c, f"k{i}") for c in "ab" for i in range(40)] + [(None, "k1"), ("a", None), (None, None), ("", ""), ("a", "=k1"), ("a|=k", "1")]
     rows = [(n, *r.choice(keys)) for n in range(600)]
@@ -29,10 +30,24 @@ def test_records_out_of_order_over_several_runs(spark, tmp_path, seed):
     src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
     for part in range(3):  # a later run goes on from the state of the earlier ones
         frame(spark, rows[part * 200 : part * 200 + 200]).repartition(2).write.mode("append").parquet(src)
-        got = seen.repeats(spark, src, out, cp, max_bytes_per_trigger=1, buckets=8)
+        got = seen.repeats(spark, src, out, cp, max_bytes_per_trigger=1)
         assert sorted(x.rec_no for x in got.collect()) == brute(rows[: part * 200 + 200])
 
 
+def test_a_batch_writes_the_state_of_its_own_keys(spark, tmp_path):
+    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
+    frame(spark, [(n, "a", f"k{n}") for n in range(2000)]).write.mode("append").parquet(src)
+    seen.remember(spark, src, out, cp)
+    frame(spark, [(2000 + n, "a", f"k{n % 5}") for n in range(20)]).write.mode("append").parquet(src)
+    state = seen.remember(spark, src, out, cp)[-1]["stateOperators"][0]
+    assert state["numRowsUpdated"] == 5 and state["numRowsTotal"] == 2000
+    assert sorted(r.rec_no for r in seen.repeats(spark, src, out, cp).collect()) == list(range(2000, 2020))
+    # a file that is gone is remembered
+    late = str(tmp_path / "late")
+    frame(spark, [(5000, "a", "k7"), (5001, "a", "new")]).write.parquet(late)
+    assert [r.rec_no for r in seen.later_than_first(seen.prints(spark.read.parquet(late)), seen.firsts_of(spark, out)).collect()] == [5000]
+
+
 def test_repeated_rows_nulls_and_an_empty_table(spark, tmp_path):
     rows = [(5, "a", "x"), (5, "a", "x"), (7, "a", "x"), (7, "a", "x"), (None, "a", "x"), (9, "b", "x"), (3, "b", "x")]
     frame(spark, rows).write.parquet(str(tmp_path / "r"))
