@@ -63,11 +63,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: a cut of the lineage that survives lost executors."""
+    """Write ``df`` as Parquet to the shared folder and read it back: a cut of the lineage that survives lost executors.
+    It stays until it is discarded or the folder is emptied."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Remove what `materialize` wrote for these frames, which nothing may read any more."""
+    for df in written:
+        Hdfs(df.sparkSession, df._written).delete(df._written)
 
 
 def spread(df: DataFrame) -> DataFrame:
