@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
-from .vectors import BLOCK_ROWS, DIMENSION, MAX_CELLS, ROWS_PER_CELL, cell_count, from_binary, meet_in_blocks, packed, with_cells
+from ..runtime import discard, materialize
+from .vectors import BLOCK_ROWS, DIMENSION, MAX_CELLS, ROWS_PER_CELL, cell_count, distinct_vectors, from_binary, marked, meet_in_blocks, packed, with_cells
 
 #: Least similarity of two members that are linked; decimals it is rounded to.
 LEAST, DECIMALS = 0.82, 6
-#: Width of the band around a cell's border in which vectors meet the neighbours too.
-MARGIN = 0.1
+#: Width of the band around a cell's border in which vectors meet the neighbours too: two vectors of LEAST are 0.6 apart, and a pair
+#: is missed if its part along the border's normal, about 0.6 / 8 at 64 dimensions, exceeds twice the width: four times as much.
+MARGIN = 0.15
 #: Rounds of seeding, seeds drawn per round as a part of k, and rounds of moving the centroids.
 SEED_ROUNDS, OVERSAMPLING, MOVES = 4, 0.5, 4
 
@@ -85,7 +86,7 @@ def seed_centroids(vectors: DataFrame, k: int, seed: int = 23, rounds: int = SEE
 
             for part, u in _chunks(batches, dimension):
                 chance = np.maximum(2 - 2 * _nearest(u, shipped.value)[1], 0) * (oversampling * k / whole)
-                luck = np.array([xxhash.xxh3_64_intdigest(i, seed=seed + r) for i in part.column(0).to_pylist()]) / 2.0**64
+                luck = np.array([xxhash.xxh3_64_intdigest(str(i), seed=seed + r) for i in part.column(0).to_pylist()]) / 2.0**64
                 yield pa.RecordBatch.from_arrays([part.column(1).filter(pa.array(luck < chance))], names=["vec"])
 
         drawn = vectors.select("id", "vec").mapInArrow(draw, "vec binary").toArrow()
@@ -125,7 +126,10 @@ def move_centroids(vectors: DataFrame, centroids: np.ndarray, dimension: int = D
         c = shipped.value
         out = np.zeros((len(c), dimension))
         for _, u in _chunks(batches, dimension):
-            np.add.at(out, _nearest(u, c)[0], u)
+            who = _nearest(u, c)[0]
+            order = np.argsort(who, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(who[order]) != 0])
+            out[who[order][starts]] += np.add.reduceat(u[order].astype(np.float64), starts, axis=0)
         used = np.flatnonzero(np.abs(out).sum(1) > 0)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(list(out[used]), pa.list_(pa.float64()))], names=["c", "s"])
 
@@ -150,17 +154,23 @@ def kmeans(vectors: DataFrame, k: int, moves: int = MOVES, dimension: int = DIME
 class Linker:
     """One block of one cell: who of the block and of the vectors that meet it belong together."""
 
-    def __init__(self, ids: pa.Array, vectors: np.ndarray, least: float):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, least: float):
         self.ids, self.vectors, self.least = ids, vectors, least
-        self.names = np.array(ids.to_pylist(), dtype=object)
         self.root = np.arange(len(vectors))
 
-    def query(self, ids: pa.Array, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
-        names = np.array(ids.to_pylist(), dtype=object)
+    def query(self, ids: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
         step = max(1, (1 << 21) // len(self.vectors))
         for at in range(0, len(vectors), step):
-            similar = vectors[at : at + step] @ self.vectors.T
-            row, col = np.nonzero(np.round(similar, DECIMALS) >= self.least)
+            asked = vectors[at : at + step]
+            row, col = np.nonzero(asked @ self.vectors.T >= self.least - 2e-6)
+            if not len(row):
+                continue
+            keep = np.empty(len(row), bool)
+            for i in range(0, len(row), 65536):
+                r, c = row[i : i + 65536], col[i : i + 65536]
+                exact = np.einsum("ij,ij->i", asked[r].astype(np.float64), self.vectors[c].astype(np.float64))
+                keep[i : i + 65536] = np.round(exact, DECIMALS) >= self.least
+            row, col = row[keep], col[keep]
             if not len(row):
                 continue
             starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
@@ -171,34 +181,39 @@ class Linker:
                 mine = np.unique(self.root[col[starts[i] : ends[i]]])
                 if len(mine) > 1:
                     self.root[np.isin(self.root, mine[1:])] = mine[0]
-            asked, met = names[at + row[starts]], self.names[col[starts]]
-            other = asked != met
+            who, met = ids[at + row[starts]], self.ids[col[starts]]
+            other = who != met
             if other.any():
-                yield pa.RecordBatch.from_arrays([pa.array(asked[other], pa.string()), pa.array(met[other], pa.string())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(who[other]), pa.array(met[other])], names=["a", "b"])
 
     def close(self) -> Iterator[pa.RecordBatch]:
         moved = np.flatnonzero(self.root != np.arange(len(self.root)))
         if len(moved):
-            yield pa.RecordBatch.from_arrays([pa.array(self.names[moved], pa.string()), pa.array(self.names[self.root[moved]], pa.string())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[moved]), pa.array(self.ids[self.root[moved]])], names=["a", "b"])
 
 
 def components(links: DataFrame, steps: int = 60) -> DataFrame:
     """``(id, first_id)`` for every id of ``(a, b)``, first_id being the smallest id that it is linked with, directly or not.
 
     Each step gives every id the smallest label among its neighbours and itself, and then that label's own label. Written to the
-    shared folder each time. The maxima of a hub are combined on the map side; a hub's links are split by the adaptive planner.
+    shared folder each time, in the place of the step before. The minima of a hub are combined on the map side; a hub's links are
+    split by the adaptive planner.
     """
     # written first: which links a block reports depends on the order of its rows, so both directions have to come from one run
-    links = materialize(links.where("a <> b").select("a", "b"), "links")
-    both = materialize(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label")), "labels")
+    once = materialize(links.where("a <> b").select("a", "b"), "links")
+    both = materialize(once.unionByName(once.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    discard(once)
+    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label"), F.lit(True).alias("moved")), "labels")
     for _ in range(steps):
-        heard = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("heard"))
-        told = labels.join(heard, "id").select("id", F.col("label").alias("was"), F.least("label", "heard").alias("now"))
-        jump = labels.select(F.col("id").alias("now"), F.col("label").alias("label_of"))
-        after = materialize(told.join(jump, "now").select("id", "was", F.least("now", "label_of").alias("label")), "labels")
-        labels = after.select("id", "label")
-        if not after.where("label <> was").limit(1).count():
+        now = labels.select("id", "label")
+        heard = both.join(now.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("heard"))
+        told = now.join(heard, "id").select("id", F.col("label").alias("was"), F.least("label", "heard").alias("near"))
+        jump = now.select(F.col("id").alias("near"), F.col("label").alias("far"))
+        joined = told.join(jump, "near").select("id", F.least("near", "far").alias("label"), (F.least("near", "far") != F.col("was")).alias("moved"))
+        before, labels = labels, materialize(joined, "labels")
+        discard(before)
+        if labels.where("moved").isEmpty():
+            discard(both)
             return labels.select("id", F.col("label").alias("first_id"))
     raise RuntimeError("the links did not settle")
 
@@ -212,17 +227,20 @@ def clusters(vectors: DataFrame, least: float = LEAST, margin: float = MARGIN, r
     vectors under several ids are compared once and stay members each. An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    mark = [F.xxhash64("vec").alias("m1"), F.xxhash64("vec", F.lit(1)).alias("m2")]
-    rows = materialize(packed(vectors, dimension).select("id", "vec", *mark), "vectors")
-    heads = materialize(rows.groupBy("m1", "m2").agg(F.min("id").alias("id"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("n")), "heads")
+    rows = marked(vectors, dimension)
+    heads = distinct_vectors(rows)
     n = heads.count()
     if n == 0:
         return spark.createDataFrame([], "first_id string, id string")
-    centroids = kmeans(heads.select("id", "vec"), cell_count(n, rows_per_cell, max_cells), dimension=dimension)
-    celled = materialize(with_cells(heads.select("id", "vec"), centroids, margin, dimension), "cells")
-    links = meet_in_blocks(celled, lambda ids, v: Linker(ids, v, least), "a string, b string", block_rows, dimension)
-    equal = rows.select(F.col("id").alias("a"), "m1", "m2").join(heads.where("n > 1").select("m1", "m2", F.col("id").alias("b")), ["m1", "m2"]).select("a", "b")
-    return components(links.unionByName(equal)).select("first_id", "id")
+    distinct = heads.select(F.col("rid").alias("id"), "vec")
+    centroids = kmeans(distinct, cell_count(n, rows_per_cell, max_cells), dimension=dimension)
+    celled = materialize(with_cells(distinct, centroids, margin, dimension), "cells")
+    labels = components(meet_in_blocks(celled, lambda ids, v: Linker(ids, v, least), "a bigint, b bigint", block_rows, dimension))
+    discard(celled)
+    # of the vectors that are linked or that several ids have, the smallest vector of the cluster, and its smallest id
+    grouped = heads.select("rid", "n", "m1", "m2").join(labels.select(F.col("id").alias("rid"), "first_id"), "rid", "left").where("first_id IS NOT NULL OR n > 1")
+    grouped = grouped.select("m1", "m2", F.coalesce("first_id", "rid").alias("rid")).join(heads.select("rid", F.col("head").alias("first_id")), "rid")
+    return rows.select("id", "m1", "m2").join(grouped, ["m1", "m2"]).select("first_id", "id")
 
 
 def describe(vectors: DataFrame, members: DataFrame, typical: int = 3, dimension: int = DIMENSION) -> DataFrame:

@@ -1,7 +1,7 @@
 """The k most similar vectors for every vector, by randomly rotated one-bit codes.
 
-Vectors are assigned to coarse cells fitted on a bounded sample; every vector is indexed, and every vector asks. Within a cell
-both sides are taken relative to the cell's centroid, rotated at random and reduced to the signs of their coordinates, packed
+Vectors are assigned to coarse cells fitted on a bounded sample; every vector is indexed, and every vector asks. Within a block of
+a cell both sides are taken relative to the block's mean, rotated at random and reduced to the signs of their coordinates, packed
 into 64-bit words. With s the inner product of a unit residual and its own code, the inner product of two residuals is estimated
 as
 
@@ -26,8 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize
-from .vectors import BLOCK_ROWS, DIMENSION, MAX_CELLS, ROWS_PER_CELL, cell_count, fit_sample, meet_in_blocks, packed, spherical_kmeans, with_cells
+from ..runtime import discard, materialize
+from .vectors import (
+    BLOCK_ROWS, DIMENSION, FIT_PER_CELL, FIT_SAMPLE, MAX_CELLS, ROWS_PER_CELL, cell_count, distinct_vectors, fit_sample, marked, meet_in_blocks, packed,
+    spherical_kmeans, with_cells,
+)
 
 #: Words of 64 bits per code; errors allowed for; width of the band around a cell in which its neighbours are asked too.
 WORDS, EPSILON, MARGIN = 2, 3.0, 0.08
@@ -70,10 +73,10 @@ class Codes:
 class Searcher:
     """One block of one cell; finds for each query its k best of the block."""
 
-    def __init__(self, ids: pa.Array, vectors: np.ndarray, k: int, least: float, words: int, epsilon: float):
-        order = np.argsort(np.array(ids.to_pylist(), dtype=object), kind="stable")
-        self.names = np.array(ids.to_pylist(), dtype=object)[order]
-        self.vectors = vectors[order]
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, least: float, words: int, epsilon: float):
+        order = np.argsort(ids)
+        self.names = ids[order]
+        self.vectors = vectors[order].astype(np.float64)
         self.k, self.least, self.epsilon = k, least, epsilon
         self.turn = rotation(vectors.shape[1], words)
         self.centre = self.vectors.mean(0)
@@ -87,11 +90,10 @@ class Searcher:
             out[s] = np.einsum("ij,ij->i", q[rows[s]], self.vectors[cols[s]])
         return np.round(out, DECIMALS)
 
-    def query(self, ids: pa.Array, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
-        names = np.array(ids.to_pylist(), dtype=object)
+    def query(self, ids: np.ndarray, vectors: np.ndarray) -> Iterator[pa.RecordBatch]:
         step = max(1, _TILE // len(self.names))
-        for i in range(0, len(names), step):
-            yield from self._tile(names[i : i + step], vectors[i : i + step])
+        for i in range(0, len(ids), step):
+            yield from self._tile(ids[i : i + step], vectors[i : i + step].astype(np.float64))
 
     def _tile(self, names: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
         base, c = self.codes, Codes(q, self.centre, self.turn)
@@ -139,7 +141,7 @@ class Searcher:
         rank = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
         top = rank < self.k
         yield pa.RecordBatch.from_arrays(
-            [pa.array(names[rows[top]], pa.string()), pa.array(self.names[cols[top]], pa.string()), pa.array(similar[top])], names=["id", "other", "similarity"]
+            [pa.array(names[rows[top]]), pa.array(self.names[cols[top]]), pa.array(similar[top])], names=["id", "other", "similarity"]
         )
 
     def close(self) -> Iterator[pa.RecordBatch]:
@@ -160,26 +162,25 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, margin: float |
     margin = margin if margin is not None else MARGIN if probed else np.inf
     rows_per_cell = rows_per_cell or (ROWS_PER_CELL if probed or margin < np.inf else block_rows)
     spark = vectors.sparkSession
-    mark = [F.xxhash64("vec").alias("m1"), F.xxhash64("vec", F.lit(1)).alias("m2")]
-    all_rows = materialize(packed(vectors, dimension).select("id", "vec", *mark), "vectors")
-    heads = all_rows.groupBy("m1", "m2").agg(F.min("id").alias("head"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("n"))
-    heads = materialize(heads, "heads")
-    distinct = heads.select(F.col("head").alias("id"), "vec")
+    all_rows = marked(vectors, dimension)
+    heads = distinct_vectors(all_rows)
+    distinct = heads.select(F.col("rid").alias("id"), "vec")
     n = heads.count()
     if n == 0:
         return spark.createDataFrame([], "id string, other string, similarity double, rank int")
-    centroids = spherical_kmeans(fit_sample(distinct, dimension=dimension), cell_count(n, rows_per_cell, max_cells))
+    cells = cell_count(n, rows_per_cell, max_cells)
+    centroids = spherical_kmeans(fit_sample(distinct, max(FIT_SAMPLE, FIT_PER_CELL * cells), dimension), cells)
     celled = materialize(with_cells(distinct, centroids, margin, dimension), "cells")
-    found = meet_in_blocks(celled, lambda ids, v: Searcher(ids, v, k, least, words, epsilon), "id string, other string, similarity double", block_rows, dimension)
+    found = meet_in_blocks(celled, lambda ids, v: Searcher(ids, v, k, least, words, epsilon), "id bigint, other bigint, similarity double", block_rows, dimension)
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
-    found = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+    found = materialize(found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r"), "found")
+    discard(celled)
     # members of groups of equals: the k + 1 smallest of each, as candidates, and all, as askers
-    twins = heads.where("n > 1").select("m1", "m2", "head")
+    twins = heads.where("n > 1").select("m1", "m2", F.col("rid").alias("head"))
     members = all_rows.select("id", "m1", "m2").join(twins, ["m1", "m2"]).select("head", F.col("id").alias("member"))
     few = members.withColumn("r", F.row_number().over(Window.partitionBy("head").orderBy("member"))).where(F.col("r") <= k + 1).groupBy("head").agg(F.array_sort(F.collect_list("member")).alias("few"))
-    listed = found.join(few.withColumnRenamed("head", "other"), "other", "left").select(
-        F.col("id").alias("head"), "similarity", F.explode(F.coalesce("few", F.array("other"))).alias("other")
-    )
+    named = heads.select(F.col("rid").alias("other"), "head").join(few.withColumnRenamed("head", "other"), "other", "left").select("other", F.coalesce("few", F.array("head")).alias("few"))
+    listed = found.join(named, "other").select(F.col("id").alias("head"), "similarity", F.explode("few").alias("other"))
     own = few.select("head", F.lit(1.0).alias("similarity"), F.explode("few").alias("other")).where(F.lit(least <= 1.0))
     ranked = (
         listed.unionByName(own)
@@ -187,7 +188,7 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, margin: float |
         .where(F.col("r") <= k + 1)
         .groupBy("head").agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), F.col("other").alias("o")))).alias("best"))
     )
-    askers = heads.where("n = 1").select("head", F.col("head").alias("member")).unionByName(members)
+    askers = heads.where("n = 1").select(F.col("rid").alias("head"), F.col("head").alias("member")).unionByName(members)
     return (
         askers.join(ranked, "head")
         .select(F.col("member").alias("id"), F.posexplode(F.slice(F.filter("best", lambda x: x["o"] != F.col("member")), 1, k)))
@@ -202,7 +203,7 @@ def recall(vectors: DataFrame, found: DataFrame, k: int, least: float, queries:
     answers the recall is 1.
     """
     spark = vectors.sparkSession
-    rows = packed(vectors)
+    rows = packed(vectors, kind=np.float64)
     asked = rows.orderBy(F.xxhash64("id", F.lit(29)), "id").limit(queries).toArrow()
     names = asked.column(0).to_pylist()
     out = spark.createDataFrame([(len(names),)], "queries bigint")

@@ -9,13 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
+
 DIMENSION = 64
-#: Vectors of the sample that cells are fitted on; its bytes are what comes to the driver (8 MB at 64 dimensions).
-FIT_SAMPLE = 16_384
+#: Vectors of the sample that cells are fitted on, at least, and for each cell; their bytes are what comes to the driver (4 MB and,
+#: with MAX_CELLS, 32 MB at 64 dimensions).
+FIT_SAMPLE, FIT_PER_CELL = 16_384, 16
 #: Vectors that one block of a cell holds at most, about; a cell of any size is cut into such blocks.
 BLOCK_ROWS = 16_384
-#: Cells aimed at: one for so many vectors, up to the limit.
-ROWS_PER_CELL, MAX_CELLS = 512, 1024
+#: Cells aimed at: one for so many vectors, up to the limit, whose centroids are broadcast (2 MB at 64 dimensions).
+ROWS_PER_CELL, MAX_CELLS = 512, 8192
 
 
 def current_vectors(versions: DataFrame, dimension: int = DIMENSION) -> DataFrame:
@@ -43,13 +46,17 @@ def unit_rows(column: pa.ListArray | pa.ChunkedArray, dimension: int = DIMENSION
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def packed(df: DataFrame, dimension: int = DIMENSION) -> DataFrame:
-    """``(id, vec binary)``: unit vectors as 8-byte floats, from ``(id, vector)``."""
+def packed(df: DataFrame, dimension: int = DIMENSION, kind: type = np.float32) -> DataFrame:
+    """``(id, vec binary)``: unit vectors as 4-byte floats, from ``(id, vector)``.
+
+    They are scaled in double precision and rounded then, which moves a similarity by some 3e-8, a thirtieth of the last of the
+    6 decimals that count.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                u = np.ascontiguousarray(unit_rows(b.column(1), dimension))
+                u = np.ascontiguousarray(unit_rows(b.column(1), dimension).astype(kind))
                 yield pa.RecordBatch.from_arrays([b.column(0), as_binary(u)], names=["id", "vec"])
 
     return df.select("id", "vector").mapInArrow(run, "id string, vec binary")
@@ -62,14 +69,30 @@ def as_binary(u: np.ndarray) -> pa.Array:
 
 
 def from_binary(column: pa.Array, dimension: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dimension)
+    """The vectors of a binary column without nulls, as they lie in its buffer."""
+    if not len(column):
+        return np.empty((0, dimension), np.float32)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)
+    return np.frombuffer(column.buffers()[2], np.uint8, 4 * dimension * len(column), int(offsets[column.offset])).view(np.float32).reshape(-1, dimension)
+
+
+def distinct_vectors(rows: DataFrame) -> DataFrame:
+    """``(rid bigint, head, vec, n, m1, m2)``, written: the distinct vectors of `packed` rows, with the smallest id of each and how
+    many have it. rid is in the order of head; (m1, m2) are 128 bits of hash, by which equal vectors are recognised."""
+    grouped = rows.groupBy("m1", "m2").agg(F.min("id").alias("head"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("n"))
+    return materialize(grouped.orderBy("head").select(F.monotonically_increasing_id().alias("rid"), "head", "vec", "n", "m1", "m2"), "heads")
+
+
+def marked(vectors: DataFrame, dimension: int = DIMENSION) -> DataFrame:
+    """``(id, vec, m1, m2)``, written."""
+    return materialize(packed(vectors, dimension).select("id", "vec", F.xxhash64("vec").alias("m1"), F.xxhash64(F.lit(1), "vec").alias("m2")), "vectors")
 
 
 def fit_sample(vectors: DataFrame, rows: int = FIT_SAMPLE, dimension: int = DIMENSION) -> np.ndarray:
     """A sample of ``(id, vec)`` of at most ``rows`` rows, drawn by the hash of the id, so the same in every run."""
     got = vectors.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(rows).select("vec").toArrow()
     if got.num_rows == 0:
-        return np.empty((0, dimension))
+        return np.empty((0, dimension), np.float32)
     return from_binary(got.column(0).combine_chunks(), dimension)
 
 
@@ -92,7 +115,7 @@ def spherical_kmeans(sample: np.ndarray, k: int, steps: int = 8, seed: int = 5)
 
 
 def with_cells(vectors: DataFrame, centroids: np.ndarray, margin: float, dimension: int = DIMENSION) -> DataFrame:
-    """``(id, vec, cell int, probes array<int>)``: the nearest centroid, and all cells whose border to it is within ``margin``.
+    """``(id bigint, vec, cell int, probes array<int>)``: the nearest centroid, and all cells whose border to it is within ``margin``.
 
     The distance of a unit vector v to the border between its own cell c and another d is (v.c - v.d) / |c - d|. Of two vectors
     at distance e in different cells, one is within e / 2 of the border; as e lies in no special direction to the border's
@@ -102,22 +125,23 @@ def with_cells(vectors: DataFrame, centroids: np.ndarray, margin: float, dimensi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shipped.value
-        gap = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 1e-12))
+        step = max(64, (1 << 21) // len(c))
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                part = b.slice(at, 2048)
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
                 u = from_binary(part.column(1), dimension)
                 near = u @ c.T
                 cell = near.argmax(1)
                 own = near[np.arange(len(u)), cell]
-                within = (own[:, None] - near) <= margin * gap[cell]
+                gap = np.sqrt(np.maximum(2 - 2 * (c[cell] @ c.T), 1e-12))
+                within = (own[:, None] - near) <= margin * gap
                 within[np.arange(len(u)), cell] = True
                 row, probe = np.nonzero(within)
                 ends = np.searchsorted(row, np.arange(len(u) + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(probe.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cell.astype(np.int32)), lists], names=["id", "vec", "cell", "probes"])
 
-    return vectors.select("id", "vec").mapInArrow(run, "id string, vec binary, cell int, probes array<int>")
+    return vectors.select("id", "vec").mapInArrow(run, "id bigint, vec binary, cell int, probes array<int>")
 
 
 def meet_in_blocks(celled: DataFrame, work: Callable, schema: str, block_rows: int = BLOCK_ROWS, dimension: int = DIMENSION) -> DataFrame:
@@ -156,15 +180,14 @@ def meet_in_blocks(celled: DataFrame, work: Callable, schema: str, block_rows: i
                         yield from task.close()
                     at, held, task = (cells[lo], numbers[lo]), [], None
                 part = b.slice(lo, hi - lo)
-                ids, vectors = part.column(3), from_binary(part.column(4), dimension)
+                ids, vectors = part.column(3).to_numpy(), from_binary(part.column(4), dimension)
                 if roles[lo] == 0:
                     held.append((ids, vectors))
                     continue
                 if not held:
                     continue  # a block that the hash left empty
                 if task is None:
-                    task = work(pa.concat_arrays([i for i, _ in held]), np.concatenate([v for _, v in held]))
-                    
+                    task = work(np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held]))
                 yield from task.query(ids, vectors)
         if task is not None:
             yield from task.close()
