@@ -12,7 +12,7 @@ from ..sources.tables import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return compaction.left_out_copies(table(spark, d, "storage_objects"), table(spark, d, "list_pages"))
+    return compaction.left_out_copies(table(spark, d, "storage_objects"), table(spark, d, "list_pages"), scratch_path(spark, "compacted"))
 
 
 def p1_compaction(spark: SparkSession, d: str) -> DataFrame:
