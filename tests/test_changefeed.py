@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from logstrata.operators import changefeed
 from logstrata.operators.changefeed import current_fields, current_positions
 
 SCHEMA = "commit_no bigint, op_index int, type string, collection string, id string, data string"
@@ -19,8 +20,9 @@ def brute(ops):
     return sorted((*k, *v) for k, v in docs.items() if v)
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_any_order_of_delivery(spark, rows, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(1, 1000), (2, 12), (3, 1)])
+def test_any_order_of_delivery(spark, rows, monkeypatch, seed, hot):
+    monkeypatch.setattr(changefeed, "HOT", hot)
     r = random.Random(seed)
     ops = [(c, i, r.choice(["put"] * 6 + ["delete"] * 3 + ["Put", None][: r.randint(0, 2) // 2]), r.choice("AB"), f"d{r.randint(0, 9)}", r.choice(['{"a":1}'] * 30 + [" null ", None])) for c in range(60) for i in range(r.randint(1, 3))]
     ops += r.choices(ops, k=40)
