@@ -243,6 +243,65 @@ def clusters(vectors: DataFrame, least: float = LEAST, margin: float = MARGIN, r
     return rows.select("id", "m1", "m2").join(grouped, ["m1", "m2"]).select("first_id", "id")
 
 
+def assigned(vectors: DataFrame, centroids: np.ndarray, dimension: int = DIMENSION) -> DataFrame:
+    """``(id, cluster int, near double)`` of `packed` vectors: the nearest centroid and the similarity to it, to 6 decimals."""
+    shipped = vectors.sparkSession.sparkContext.broadcast(centroids)  # at most MAX_CELLS rows
+
+    def run(batches):
+        for part, u in _chunks(batches, dimension):
+            best, near = _nearest(u, shipped.value)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best.astype(np.int32)), pa.array(np.round(near.astype(np.float64), DECIMALS))], names=["id", "cluster", "near"])
+
+    return vectors.select("id", "vec").mapInArrow(run, "id string, cluster int, near double")
+
+
+def text_clusters(texts: DataFrame, rows_per_cluster: int = 64, most: int = 1024, typical: int = 3, dimension: int = DIMENSION) -> DataFrame:
+    """``(cluster int, size bigint, typical array<string>)`` of ``(id, text)``: hashed weighted features divided by k-means into one
+    cluster for each ``rows_per_cluster`` texts, at most ``most``; the typical ids are those nearest the centroid, the nearest first, ties
+    by id. Texts that are null or hold no word belong to no cluster; no cluster is empty, and an empty table has none.
+    """
+    spark = texts.sparkSession
+    usable = hashed_features(texts, dimension).where(F.exists("vector", lambda x: x != 0))
+    features = materialize(packed(usable, dimension), "features")
+    n = features.count()
+    if n == 0:
+        return spark.createDataFrame([], "cluster int, size bigint, typical array<string>")
+    placed = assigned(features, kmeans(features, cell_count(n, rows_per_cluster, most), dimension=dimension), dimension)
+    near = F.struct((-F.col("near")).alias("far"), "id")
+    # the nearest few of each cluster by a group limit before the shuffle; sizes by a count combined before it
+    first = placed.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("near"), "id"))).where(F.col("r") <= typical)
+    first = first.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(near)), lambda x: x["id"]).alias("typical"))
+    return placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).join(first, "cluster")
+
+
+def link_recall(vectors: DataFrame, members: DataFrame, least: float = LEAST, queries: int = 1000, dimension: int = DIMENSION) -> DataFrame:
+    """One row ``(queries, links, kept, recall)``: of the links of ``queries`` vectors with all rows, by brute force in double
+    precision, the part whose ends lie in one cluster of ``members``. The vectors are those of the lowest hash; their number bounds
+    what each task holds. Without links the recall is 1."""
+    spark = vectors.sparkSession
+    rows = packed(vectors, dimension, np.float64)
+    asked = rows.orderBy(F.xxhash64("id", F.lit(31)), "id").limit(queries).toArrow()
+    names = asked.column(0).to_pylist()
+    out = spark.createDataFrame([(len(names),)], "queries bigint")
+    if not names:
+        return out.selectExpr("queries", "0L AS links", "0L AS kept", "1D AS recall")
+    q = spark.sparkContext.broadcast((names, np.frombuffer(b"".join(asked.column(1).to_pylist()), np.float64).reshape(len(names), -1)))
+
+    def run(batches):
+        ids, v = q.value
+        for b in batches:
+            for at in range(0, b.num_rows, 1024):
+                part = b.slice(at, 1024)
+                i, j = np.nonzero(np.round(v @ np.frombuffer(b"".join(part.column(1).to_pylist()), np.float64).reshape(part.num_rows, -1).T, DECIMALS) >= least)
+                other = part.column(0).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([ids[x] for x in i], pa.string()), pa.array([other[x] for x in j], pa.string())], names=["a", "b"])
+
+    links = rows.mapInArrow(run, "a string, b string").where("a <> b")
+    first = members.select(F.col("id").alias("a"), F.col("first_id").alias("fa")), members.select(F.col("id").alias("b"), F.col("first_id").alias("fb"))
+    met = links.join(first[0], "a", "left").join(first[1], "b", "left").agg(F.count(F.lit(1)).alias("links"), F.count_if(F.col("fa") == F.col("fb")).alias("kept"))
+    return out.crossJoin(met).select("queries", "links", "kept", F.when(F.col("links") > 0, F.col("kept") / F.col("links")).otherwise(1.0).alias("recall"))  # one row each
+
+
 def describe(vectors: DataFrame, members: DataFrame, typical: int = 3, dimension: int = DIMENSION) -> DataFrame:
     """``(first_id, size, typical array<string>)``: each cluster's size and the ids nearest its centroid, the nearest first.
 

@@ -30,6 +30,10 @@ TOLERANCE, STEPS = 1e-9, 60
 _LIMITS, _PASSES = 32, 5
 
 
+class NotConverged(RuntimeError):
+    """The steps for the weights ran out before a source met its goal."""
+
+
 @dataclass(frozen=True)
 class Weighted:
     """What is known of one source. ``lam`` and ``limit`` stay None where nothing of it is taken."""
@@ -61,16 +65,20 @@ def _rate(lam, cap, tokens, mean):
 
 
 def _solve(histogram: DataFrame, sizes: dict, goals: dict, caps: dict) -> dict[str, float]:
-    """lambda per source: safeguarded Newton steps on the dual, all sources in one aggregation per step."""
+    """lambda per source: safeguarded Newton steps on the dual, all sources in one aggregation per step.
+
+    Raises `NotConverged` if a source's tokens aren't within TOLERANCE of its goal after STEPS."""
     spark = histogram.sparkSession
     low = {s: -math.inf for s in goals}
     high = {s: math.inf for s in goals}
     lam = {s: 0.0 for s in goals}
     done: set[str] = set()
-    for _ in range(STEPS):
+    for taken in range(STEPS + 1):
         todo = [s for s in goals if s not in done]
         if not todo:
             break
+        if taken == STEPS:
+            raise NotConverged(f"{STEPS} steps didn't meet the goals of {', '.join(map(repr, sorted(todo)))}")
         now = spark.createDataFrame([(s, lam[s], caps[s], sizes[s][1] / sizes[s][0]) for s in todo], "source string, lam double, cap int, mean double")
         r = _rate(F.col("lam"), F.col("cap"), F.col("tokens"), F.col("mean"))
         sums = (

@@ -162,7 +162,7 @@ def nearest(vectors: DataFrame, k: int = 5, least: float = -1.0, margin: float |
     margin = margin if margin is not None else MARGIN if probed else np.inf
     rows_per_cell = rows_per_cell or (ROWS_PER_CELL if probed or margin < np.inf else block_rows)
     spark = vectors.sparkSession
-    all_rows = marked(vectors, dimension)
+    all_rows = marked(vectors, dimension, np.float64)
     heads = distinct_vectors(all_rows)
     distinct = heads.select(F.col("rid").alias("id"), "vec")
     n = heads.count()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from . import bpe, clusters, mixing, nearest, seen, stuffing
-from .vectors import current_vectors
+from .vectors import current_texts, current_vectors
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -53,6 +53,18 @@ def p5_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clusters.describe(vectors, clusters.clusters(vectors))
 
 
+def p5_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Links of 0.82 or more of a stated set of vectors against all, by brute force, and how many of them lie within one cluster."""
+    vectors = _vectors(spark, d)
+    return clusters.link_recall(vectors, clusters.clusters(vectors))
+
+
+def p5_text_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """The current texts as hashed weighted features, divided by k-means: each cluster's size and members nearest its centroid."""
+    texts = current_texts(table(spark, d, "vector_documents"))
+    return clusters.text_clusters(texts)
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_documents(table(spark, d, "documents"))
 
@@ -70,7 +82,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_nearest, p2_nearest_all, p2_recall, p4_found, p4_error_rates, p5_found, p5_clusters, p6_ids, p7_copies, p7_shares, p8_found)
+    f.__name__: f for f in (p2_found, p2_nearest, p2_nearest_all, p2_recall, p4_found, p4_error_rates, p5_found, p5_clusters, p5_recall, p5_text_clusters, p6_ids, p7_copies, p7_shares, p8_found)
 }
 
 _USABLE = """
@@ -86,6 +98,14 @@ sims AS (
 )
 """
 
+_MEMBERS = (
+    _USABLE
+    + """, links AS (SELECT id, other FROM sims WHERE s >= 0.82),
+reach(id, other) AS (SELECT id, other FROM links UNION SELECT r.id, l.other FROM reach r JOIN links l ON r.other = l.id),
+members AS (SELECT min(other) AS first_id, id FROM (SELECT id, other FROM reach UNION SELECT id, id FROM links) GROUP BY id)
+"""
+)
+
 SQL: dict[str, str] = {
     "p2_found": _USABLE
     + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, other) AS r FROM sims WHERE s >= 0.94)
@@ -105,9 +125,14 @@ counted AS (SELECT collection, count(*) AS rows, count(*) FILTER (again) AS repe
 SELECT c.collection, c.rows, c.repeats, CAST(0 AS BIGINT) AS wrong, CAST(0 AS DOUBLE) AS wrong_rate, coalesce(b.bloom_filter_built, false) AS bloom_filter_built
 FROM counted c LEFT JOIN built b ON b.collection IS NOT DISTINCT FROM c.collection AND b.r = 1
 """,
-    "p5_found": _USABLE
-    + """, links AS (SELECT id, other FROM sims WHERE s >= 0.82),
-reach(id, other) AS (SELECT id, other FROM links UNION SELECT r.id, l.other FROM reach r JOIN links l ON r.other = l.id)
-SELECT min(other) AS first_id, id FROM (SELECT id, other FROM reach UNION SELECT id, id FROM links) GROUP BY id
+    "p5_found": _MEMBERS + "SELECT first_id, id FROM members",
+    "p5_clusters": _MEMBERS
+    + """, elements AS (
+  SELECT m.first_id, m.id, unnest(list_transform(u.vector, lambda x: x / sqrt(list_inner_product(u.vector, u.vector)))) AS x, unnest(range(64)) AS i FROM members m JOIN usable u ON u.id = m.id
+),
+sums AS (SELECT first_id, i, sum(x) AS s, count(*) AS size FROM elements GROUP BY first_id, i),
+near AS (SELECT e.first_id, e.id, max(s.size) AS size, round(sum(e.x * s.s) / max(s.size), 6) AS near FROM elements e JOIN sums s ON s.first_id = e.first_id AND s.i = e.i GROUP BY e.first_id, e.id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY first_id ORDER BY near DESC, id) AS r FROM near)
+SELECT first_id, max(size) AS size, list(id ORDER BY r) FILTER (WHERE r <= 3) AS typical FROM ranked GROUP BY first_id
 """,
 }

@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from ..runtime import materialize
 
 DIMENSION = 64
-#: Vectors of the sample that cells are fitted on, at least, and for each cell; their bytes are what comes to the driver (4 MB and,
-#: with MAX_CELLS, 32 MB at 64 dimensions).
+#: Vectors of the sample that cells are fitted on, at least, and for each cell; their bytes are what comes to the driver (8 MB and,
+#: with MAX_CELLS, 64 MB at 64 dimensions).
 FIT_SAMPLE, FIT_PER_CELL = 16_384, 16
 #: Vectors that one block of a cell holds at most, about; a cell of any size is cut into such blocks.
 BLOCK_ROWS = 16_384
-#: Cells aimed at: one for so many vectors, up to the limit, whose centroids are broadcast (2 MB at 64 dimensions).
+#: Cells aimed at: one for so many vectors, up to the limit, whose centroids are broadcast (4 MB at 64 dimensions).
 ROWS_PER_CELL, MAX_CELLS = 512, 8192
 
 
@@ -39,6 +39,12 @@ def current_vectors(versions: DataFrame, dimension: int = DIMENSION) -> DataFram
     return latest.where((F.size("vector") == dimension) & fine)
 
 
+def current_texts(versions: DataFrame) -> DataFrame:
+    """``(id, text)`` of the highest ``ver`` of each id; among rows of one ver the largest text counts. A text may be null."""
+    latest = versions.where(F.col("id").isNotNull()).groupBy("id").agg(F.max(F.struct("ver", "text")).alias("v"))
+    return latest.select("id", F.col("v.text").alias("text"))
+
+
 def unit_rows(column: pa.ListArray | pa.ChunkedArray, dimension: int = DIMENSION) -> np.ndarray:
     """The vectors of an Arrow list column, scaled to length 1. Scaled by their largest element first, against overflow."""
     x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dimension)
@@ -47,10 +53,10 @@ def unit_rows(column: pa.ListArray | pa.ChunkedArray, dimension: int = DIMENSION
 
 
 def packed(df: DataFrame, dimension: int = DIMENSION, kind: type = np.float32) -> DataFrame:
-    """``(id, vec binary)``: unit vectors as 4-byte floats, from ``(id, vector)``.
+    """``(id, vec binary)``: unit vectors as floats of ``kind``, from ``(id, vector)``.
 
-    They are scaled in double precision and rounded then, which moves a similarity by some 3e-8, a thirtieth of the last of the
-    6 decimals that count.
+    They are scaled in double precision and rounded then. 4-byte floats halve what is shuffled, but move a similarity by some
+    3e-8, a thirtieth of the last of the 6 decimals that count; where similarities are told, 8-byte ones are used.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +79,9 @@ def from_binary(column: pa.Array, dimension: int) -> np.ndarray:
     if not len(column):
         return np.empty((0, dimension), np.float32)
     offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)
-    return np.frombuffer(column.buffers()[2], np.uint8, 4 * dimension * len(column), int(offsets[column.offset])).view(np.float32).reshape(-1, dimension)
+    start, width = int(offsets[column.offset]), int(offsets[column.offset + 1] - offsets[column.offset])
+    kind = np.float64 if width == 8 * dimension else np.float32
+    return np.frombuffer(column.buffers()[2], np.uint8, width * len(column), start).view(kind).reshape(-1, dimension)
 
 
 def distinct_vectors(rows: DataFrame) -> DataFrame:
@@ -83,9 +91,9 @@ def distinct_vectors(rows: DataFrame) -> DataFrame:
     return materialize(grouped.orderBy("head").select(F.monotonically_increasing_id().alias("rid"), "head", "vec", "n", "m1", "m2"), "heads")
 
 
-def marked(vectors: DataFrame, dimension: int = DIMENSION) -> DataFrame:
+def marked(vectors: DataFrame, dimension: int = DIMENSION, kind: type = np.float32) -> DataFrame:
     """``(id, vec, m1, m2)``, written."""
-    return materialize(packed(vectors, dimension).select("id", "vec", F.xxhash64("vec").alias("m1"), F.xxhash64(F.lit(1), "vec").alias("m2")), "vectors")
+    return materialize(packed(vectors, dimension, kind).select("id", "vec", F.xxhash64("vec").alias("m1"), F.xxhash64(F.lit(1), "vec").alias("m2")), "vectors")
 
 
 def fit_sample(vectors: DataFrame, rows: int = FIT_SAMPLE, dimension: int = DIMENSION) -> np.ndarray:

@@ -59,3 +59,10 @@ def test_odd_tables(spark):
     assert set(got) == {"big", "mid", "small", "nan"} and got["big"] == got["mid"] == 0 and got["small"] > 0
     empty = mixing.mix_shares(df.limit(0), spark.createDataFrame([("big", 1.0, 1)], TARGETS)).collect()
     assert [tuple(r)[:2] for r in empty] == [("big", 1.0)] and empty[0].actual_share == 0
+
+
+def test_steps_that_run_out_are_an_error(spark, monkeypatch):
+    _, df = documents(spark)
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    with pytest.raises(mixing.NotConverged):
+        mixing.mix_copies(df, spark.createDataFrame([("big", 0.5, 1), ("mid", 0.5, 2)], TARGETS), total_tokens=9000.0)

@@ -135,6 +135,25 @@ def test_hashed_features_of_texts(spark):
     assert sorted(tuple(r) for r in members.collect()) == [("a", "a"), ("a", "b")]
 
 
+def test_texts_divided_by_kmeans(spark):
+    words = "red apple pie,tax report form,tram bell line".split(",")
+    texts = [(f"{g}{i:02d}", f"{words[g]} {words[g]} note {i}") for g in range(3) for i in range(20)] + [("n", None), ("e", ""), ("f", "!?")]
+    df = spark.createDataFrame(texts, "id string, text string")
+    got = clusters.text_clusters(df, rows_per_cluster=20).collect()
+    assert sorted(r["size"] for r in got) == [20, 20, 20] and all(len(r.typical) == 3 and len({t[0] for t in r.typical}) == 1 for r in got)
+    assert clusters.text_clusters(df.limit(0)).count() == 0 and clusters.text_clusters(df.where("id = 'n'")).count() == 0
+    versions = spark.createDataFrame([("a", 1, "old"), ("a", 2, None), ("b", 1, "x"), ("b", 1, "x"), (None, 1, "y")], "id string, ver int, text string")
+    assert sorted(map(tuple, vectors.current_texts(versions).collect())) == [("a", None), ("b", "x")]
+
+
+def test_recall_of_links(spark):
+    df = vectors.current_vectors(spark.createDataFrame([(i, 1, v, 1, "x") for i, v in grouped(5)], SCHEMA))
+    found = clusters.clusters(df, margin=0.3, rows_per_cell=30)
+    whole, none = clusters.link_recall(df, found).first(), clusters.link_recall(df, found.limit(0)).first()
+    assert whole.links == whole.kept > 0 and whole.recall == 1.0 and none.links == whole.links and none.recall == 0.0
+    assert clusters.link_recall(df.limit(0), found).first().recall == 1.0
+
+
 def test_every_vector_gets_its_nearest_without_a_limit(spark):
     r = np.random.default_rng(4)
     rows = grouped(4) + [(f"q{i}", r.standard_normal(64).tolist()) for i in range(1100)]
