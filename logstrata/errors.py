@@ -17,10 +17,22 @@ class SizeLimitError(StoreError):
         self.size, self.limit = size, limit
 
 
-class LockActiveError(StoreError):
+class PreconditionFailedError(StoreError):
+    """What was to be replaced isn't what it was."""
+
+
+class LockError(StoreError):
+    """Something about a lease."""
+
+
+class LockActiveError(LockError):
     """Another writer published first, or holds the maintenance lease."""
 
 
+class LockAcquisitionError(LockError):
+    """The lease couldn't be written."""
+
+
 class OptionsMismatchError(StoreError):
     """A collection was opened with other options than it was made with."""
 

@@ -1,9 +1,14 @@
 """A store of collections on any Hadoop filesystem: immutable Parquet commits under a versioned manifest.
 
 A collection is a folder with ``data/<uuid>`` folders, each the result of one commit, and ``manifest/<n>.json``, which names the
-folders that make up version n: compacted ones (base) and pending ones (delta). A commit writes its data first and then creates
-the next manifest exclusively, so it appears as a whole or not at all, writers never overwrite each other, and a reader that has
-picked a version is never disturbed. Old folders are removed by `expire_versions` only.
+folders that make up version n: compacted ones (base) and pending ones (delta), each with its time and bytes. A commit writes its
+data first and then creates the next manifest exclusively and whole, so it appears as a whole or not at all, writers never overwrite
+each other, and a reader that has picked a version is never disturbed. A read as of a time opens only commits of that time or
+before. Old folders are removed by `expire_versions` only.
+
+Maintenance holds a lease, ``lease/<n>.json``, whose newest number counts: it's taken where the newest has lapsed or was given up, by
+creating the next one exclusively. A lease that lapses during its work does no harm, as the result is published against the base that
+it was made from.
 """
 
 from __future__ import annotations
@@ -12,21 +17,25 @@ import json
 import logging
 import random
 import re
+import threading
 import time
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..errors import InvalidNameError, LockActiveError, OptionsMismatchError, SizeLimitError, TransactionError
+from ..errors import (
+    CorruptionError, InvalidNameError, LockAcquisitionError, LockActiveError, OptionsMismatchError, SizeLimitError, TransactionError,
+)
 from ..functions import vectors as V
 from ..functions.predicates import Where, strict_equals_variant
 from ..runtime import Hdfs
-from . import maintenance, state
+from . import maintenance, query, state
 from .maintenance import NEVER, Policy
-from .search import METRICS, check_vector, search
+from .search import METRICS, check_vector, request_size, search
 
 log = logging.getLogger("logstrata.store")
 
@@ -36,6 +45,10 @@ SIZE_LIMIT = 10 * 1024 * 1024
 #: Attempts to publish a commit that others' commits overtake.
 ATTEMPTS = 20
 
+#: Bytes of a file of the base that are aimed at.
+BASE_FILE = 256 << 20
+
+_TOO_LONG = "a document is too long: "
 STORED = "id string, deleted boolean, ts bigint, ord struct<seq:bigint,pos:bigint>, data string, vector array<double>"
 
 _clock = {"last": 0}
@@ -98,10 +111,12 @@ class Collection:
         self.store, self.name, self.options = store, name, options
         self.spark = store.spark
         self.root = f"{store.root}/{name}"
+        self._stop: threading.Event | None = None
+        self._workers: list[threading.Thread] = []
         self._fs = Hdfs(self.spark, store.root)
         self._fs.mkdirs(f"{self.root}/manifest")
         if self.version() == 0:
-            first = {"options": options.__dict__, "base": [], "delta": [], "base_bytes": 0, "seq": 0}
+            first = {"options": options.__dict__, "base": [], "delta": [], "base_bytes": 0, "seq": 0, "streams": {}}
             self._fs.create(self._manifest_path(1), json.dumps(first))
         if (kept := self.manifest()["options"]) != options.__dict__:
             raise OptionsMismatchError(f"{name} was made with {kept}")
@@ -116,7 +131,11 @@ class Collection:
         return int(names[-1][:-5]) if names else 0
 
     def manifest(self, version: int | None = None) -> dict:
-        return json.loads(self._fs.read_text(self._manifest_path(version or self.version())))
+        path = self._manifest_path(version or self.version())
+        try:
+            return json.loads(self._fs.read_text(path))
+        except ValueError as e:
+            raise CorruptionError(f"{path} is no manifest") from e
 
     def _publish(self, change: Callable[[dict], dict | None], attempts: int = ATTEMPTS) -> dict:
         """Create the next manifest from the newest one; ``change`` returns None to give up."""
@@ -150,15 +169,24 @@ class Collection:
             raise SizeLimitError(size, self.options.size_limit)
         return rows
 
-    def _append(self, df: DataFrame, count: int) -> None:
-        """Write ``(id, deleted, ts, pos, data, vector)`` as one commit. Its place in the order is given by the manifest."""
+    def _append(self, df: DataFrame, count: int, ts: int, stream: tuple[str, int] | None = None) -> None:
+        """Write ``(id, deleted, ts, pos, data, vector)`` as one commit. Its place in the order is given by the manifest. ``stream``,
+        a name and a number, makes it the commit of that number: it isn't made again if it or a later one was."""
         folder = f"data/{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{folder}")
+        size, done = self._fs.bytes_in(f"{self.root}/{folder}"), []
 
         def add(m: dict) -> dict:
-            return m | {"seq": m["seq"] + 1, "delta": [*m["delta"], {"path": folder, "seq": m["seq"] + 1, "rows": count}]}
+            if stream and m["streams"].get(stream[0], -1) >= stream[1]:
+                done.append(True)
+                return m
+            entry = {"path": folder, "seq": m["seq"] + 1, "rows": count, "ts": ts, "bytes": size}
+            return m | {"seq": m["seq"] + 1, "delta": [*m["delta"], entry], "streams": m["streams"] | dict([stream] if stream else [])}
 
         self._publish(add)
+        if done:
+            self._fs.delete(f"{self.root}/{folder}")
+            return
         if self.store.hooks.on_write:
             self.store.hooks.on_write(self.name, count)
         self._maintain()
@@ -174,28 +202,49 @@ class Collection:
         b = Batch()
         fill(b)
         if b.ops:
-            rows = self._rows(b.ops, monotonic_ms())
-            self._append(self.spark.createDataFrame(rows, "id string, deleted boolean, ts bigint, pos bigint, data string, vector array<double>"), len(rows))
+            ts = monotonic_ms()
+            rows = self._rows(b.ops, ts)
+            self._append(self.spark.createDataFrame(rows, "id string, deleted boolean, ts bigint, pos bigint, data string, vector array<double>"), len(rows), ts)
 
     def put_df(self, df: DataFrame) -> None:
-        """One atomic commit of a frame of any size: a row per document, with ``id`` and any columns."""
-        docs = df.where(F.col("id").isNotNull())
+        """One atomic commit of a frame of any size: a row per document, with ``id`` and any columns. The limit of size holds for each
+        document."""
+        self.write_df(df)
+
+    def write_df(self, df: DataFrame, deleted: Column | None = None, order: Column | None = None, stream: tuple[str, int] | None = None) -> None:
+        """`put_df`, where rows that ``deleted`` holds for delete their id, and of several rows of one id the one that is highest in
+        ``order`` counts (by default the last one of the frame). ``stream`` as in `_append`."""
+        ts = monotonic_ms()
+        place = F.monotonically_increasing_id() if order is None else order
+        docs = df.withColumns({"__pos": place, "__gone": F.lit(False) if deleted is None else F.coalesce(deleted, F.lit(False))}).where(F.col("id").isNotNull())
+        if order is not None:  # the place is a number below; any orderable value gets one by keeping the highest of each id
+            w = Window.partitionBy("id").orderBy(F.desc_nulls_last("__pos"), F.desc("__gone"))
+            docs = docs.withColumn("__n", F.row_number().over(w)).where("__n = 1").withColumn("__pos", F.lit(0).cast("bigint")).drop("__n")
         vector: Column = F.lit(None).cast("array<double>")
         if self.options.dimension is not None:
             ok = F.assert_true(V.is_valid("vector", self.options.dimension), F.lit("a vector isn't valid"))
             v = V.normalize("vector") if self.options.normalizes() else F.col("vector").cast("array<double>")
             vector = F.when(ok.isNull(), v)
         body = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "vector" or self.options.dimension is None]))
-        rows = docs.select(F.col("id").cast("string").alias("id"), F.lit(False).alias("deleted"), F.lit(monotonic_ms()).cast("bigint").alias("ts"),
-                           F.monotonically_increasing_id().alias("pos"), body.alias("data"), vector.alias("vector"))
-        self._append(rows, -1)
+        rows = docs.select(F.col("id").cast("string").alias("id"), F.col("__gone").alias("deleted"), F.lit(ts).cast("bigint").alias("ts"), F.col("__pos").alias("pos"),
+                           F.when(~F.col("__gone"), body).alias("data"), F.when(~F.col("__gone"), vector).alias("vector"))
+        length = F.length("data") + 20 * F.coalesce(F.size("vector"), F.lit(0)) + F.length("id") + 32
+        within = F.assert_true((length <= self.options.size_limit) | F.col("deleted"), F.concat(F.lit(_TOO_LONG), length.cast("string"), F.lit(";")))
+        rows = rows.withColumn("data", F.when(within.isNull(), F.col("data")))
+        try:
+            self._append(rows, -1, ts, stream)
+        except Exception as e:
+            if found := re.search(re.escape(_TOO_LONG) + r"(\d+);", str(e)):
+                raise SizeLimitError(int(found[1]), self.options.size_limit) from e
+            raise
 
     def delete_df(self, ids: DataFrame) -> None:
         """One atomic commit that deletes the ids in the first column of ``ids``."""
+        ts = monotonic_ms()
         rows = ids.select(F.col(ids.columns[0]).cast("string").alias("id")).where("id is not null").select(
-            "id", F.lit(True).alias("deleted"), F.lit(monotonic_ms()).cast("bigint").alias("ts"), F.monotonically_increasing_id().alias("pos"),
+            "id", F.lit(True).alias("deleted"), F.lit(ts).cast("bigint").alias("ts"), F.monotonically_increasing_id().alias("pos"),
             F.lit(None).cast("string").alias("data"), F.lit(None).cast("array<double>").alias("vector"))
-        self._append(rows, -1)
+        self._append(rows, -1, ts)
 
     # reading
 
@@ -210,11 +259,13 @@ class Collection:
         return raw.withColumn("commit", where).join(F.broadcast(seqs), "commit").select(  # one row per pending commit
             "id", "deleted", "ts", F.struct("seq", "pos").alias("ord"), "data", "vector")
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """Every stored version, deletions included, as a log."""
+    def read(self, version: int | None = None, at: int | None = None) -> DataFrame:
+        """Every stored version, deletions included, as a log; with ``at`` that of the commits of that time or before, so that later
+        ones aren't opened."""
         m = self.manifest(version)
-        base = self.spark.read.schema(STORED).parquet(*[f"{self.root}/{p}" for p in m["base"]]) if m["base"] else self.spark.createDataFrame([], STORED)
-        return base.unionByName(self._read(m["delta"])) if m["delta"] else base
+        if at is None:
+            return self._whole(m)
+        return state.as_of(self._whole(m | {"delta": [e for e in m["delta"] if e["ts"] <= at]}), at)
 
     def _expiring(self, log_: DataFrame) -> DataFrame:
         """With column ``__ttl``: the ttl field where it's a number, else null, which never expires."""
@@ -228,7 +279,7 @@ class Collection:
 
     def documents(self, at: int | None = None, now: int | None = None, version: int | None = None) -> DataFrame:
         """``(id, data, vector, ts, first_seen)`` of the live documents."""
-        rows = self._expiring(self.read(version))
+        rows = self._expiring(self.read(version, at))
         ttl = "__ttl" if self.options.ttl else None
         return state.with_first_seen(rows, at, monotonic_ms() if now is None else now, ttl).drop("deleted", "__ttl")
 
@@ -239,17 +290,16 @@ class Collection:
         return doc
 
     def get(self, id: str, at: int | None = None, now: int | None = None) -> dict | None:
-        rows = self._expiring(self.read().where(F.col("id") == id))
+        rows = self._expiring(self.read(at=at).where(F.col("id") == id))
         found = state.current_state(rows, at, monotonic_ms() if now is None else now, "__ttl" if self.options.ttl else None).take(1)
         return self._doc(found[0]) if found else None
 
     def get_many(self, ids: list[str], at: int | None = None, now: int | None = None) -> dict[str, dict]:
-        rows = self._expiring(self.read().where(F.col("id").isin(list(dict.fromkeys(ids)))))
-        found = state.current_state(rows, at, monotonic_ms() if now is None else now, "__ttl" if self.options.ttl else None)
+        found = query.get_many(self._expiring(self.read(at=at)), list(dict.fromkeys(ids)), at, monotonic_ms() if now is None else now, "__ttl" if self.options.ttl else None)
         return {r["id"]: self._doc(r) for r in found.toLocalIterator()}
 
     def find(self, where: Where = None, limit: int | None = None, offset: int = 0, at: int | None = None, now: int | None = None, include_vector: bool = False) -> DataFrame:
-        """Live documents as ``(id, data, ...)`` in order of first appearance. A mapping compares fields of the JSON without
+        """Live documents as ``(id, data, ...)``, with ``limit`` or ``offset`` in order of first appearance. A mapping compares fields of the JSON without
         coercion; a column, SQL text or function sees ``doc``, the document as VARIANT."""
         docs = self.documents(at, now).withColumn("doc", F.try_parse_json("data"))
         if isinstance(where, dict):
@@ -258,7 +308,9 @@ class Collection:
                 cond = cond & strict_equals_variant(F.col("doc"), k, v)
         else:
             cond = F.lit(True) if where is None else where if isinstance(where, Column) else F.expr(where) if isinstance(where, str) else where(docs)
-        out = docs.where(cond).drop("doc").orderBy("first_seen", "id")
+        out = docs.where(cond).drop("doc")
+        if offset or limit is not None:
+            out = out.orderBy("first_seen", "id")
         if offset:
             out = out.offset(offset)
         if limit is not None:
@@ -266,7 +318,9 @@ class Collection:
         return out if include_vector else out.drop("vector")
 
     def count(self, at: int | None = None, now: int | None = None) -> int:
-        return self.documents(at, now).count()
+        rows = self._expiring(self.read(at=at)).drop("vector")
+        rows = rows if self.options.ttl is None else rows.drop("data")
+        return state.count_live(rows, at, monotonic_ms() if now is None else now, "__ttl" if self.options.ttl else None).first()[0]
 
     def search(self, query: list[float], k: int | None = 10, threshold: float | None = None, where: Where = None, include_vector: bool = False, now: int | None = None) -> DataFrame:
         """Top k of the collection's metric over ``(id, data)``; only for collections with a dimension."""
@@ -283,8 +337,40 @@ class Collection:
         ttl = "__ttl" if self.options.ttl else None
         return search(rows, query, self.options.dimension, k, self.options.metric, threshold, cond, monotonic_ms() if now is None else now, ttl, include_vector).drop("__ttl")
 
+    def request_search(self, request: dict, now: int | None = None) -> DataFrame:
+        """`search` by ``{vector, k, metric}``: k is 10 by default and at most 100; another metric than the collection's is refused."""
+        if (metric := request.get("metric", self.options.metric)) != self.options.metric:
+            raise OptionsMismatchError(f"{self.name} is searched by {self.options.metric}, not {metric}")
+        return self.search(request.get("vector"), request_size(request.get("k")), now=now)
+
     # maintenance
 
+    def _lease_path(self, n: int) -> str:
+        return f"{self.root}/lease/{n:012d}.json"
+
+    @contextmanager
+    def lease(self, vacuum: bool = False) -> Iterator[None]:
+        """Hold the collection's maintenance lease, for as long as the work ahead is estimated to take."""
+        self._fs.mkdirs(f"{self.root}/lease")
+        m, session = self.manifest(), uuid.uuid4().hex
+        names = [n for n, _ in self._fs.files(f"{self.root}/lease") if n.endswith(".json") and not n.startswith(".")]
+        last = int(names[-1][:-5]) if names else 0
+        if last and (until := json.loads(self._fs.read_text(self._lease_path(last)))["expires_at"]) > (now := monotonic_ms()):
+            raise LockActiveError(f"{self.name} is being maintained for another {until - now} ms at most")
+        until = monotonic_ms() + maintenance.lease_ms(m["base_bytes"], len(m["delta"]), vacuum)
+        try:
+            mine = self._fs.create(self._lease_path(last + 1), json.dumps({"session": session, "expires_at": until}))
+        except Exception as e:
+            raise LockAcquisitionError(f"the lease of {self.name} can't be written") from e
+        if not mine:
+            raise LockActiveError(f"{self.name} has just been leased by another")
+        try:
+            yield
+        finally:
+            if self._fs.create(self._lease_path(last + 2), json.dumps({"session": session, "expires_at": 0})):
+                for n in names[:-1]:
+                    self._fs.delete(f"{self.root}/lease/{n}")
+
     def count_pending(self) -> int:
         return len(self.manifest()["delta"])
 
@@ -296,10 +382,10 @@ class Collection:
         """Write a new base of the newest version and publish it, unless another base was published meanwhile."""
         seen = self.manifest()
         folder = f"data/{uuid.uuid4().hex}"
-        size = max(1, (seen["base_bytes"] + 1) // (256 << 20))
+        size = max(1, -(-(seen["base_bytes"] + delta_taken * sum(e["bytes"] for e in seen["delta"])) // BASE_FILE))
         rows = make(seen).repartitionByRange(size, "id", "ord").sortWithinPartitions("id", "ord")
         rows.write.option("parquet.bloom.filter.enabled#id", "true").parquet(f"{self.root}/{folder}")
-        written = sum(s for n, s in self._fs.files(f"{self.root}/{folder}") if n.endswith(".parquet"))
+        written = self._fs.bytes_in(f"{self.root}/{folder}")
 
         def swap(m: dict) -> dict | None:
             if m["base"] != seen["base"]:
@@ -311,14 +397,15 @@ class Collection:
         return folder, seen
 
     def compact(self) -> dict:
-        """Pending commits into the base, all versions kept. Nothing changes for readers, now or at any earlier time."""
+        """Pending commits into the base, all versions kept. Nothing changes for readers, now or at any earlier time. The base is
+        sorted by id, which is its index, and has a Bloom filter of the ids; both are told as built if the base was written."""
         began = time.time()
-        seen = self.manifest()
-        if not seen["delta"]:
-            return {"mutations_processed": 0, "duration_ms": 0}
-        n = self._read(seen["delta"]).count()
-        self._rewrite(lambda m: self._whole(m), True)
-        result = {"mutations_processed": n, "duration_ms": int((time.time() - began) * 1000)}
+        with self.lease():
+            if not self.manifest()["delta"]:
+                return {"mutations_processed": 0, "duration_ms": 0, "bloom_filter_built": False, "index_built": False}
+            _, seen = self._rewrite(lambda m: self._whole(m), True)
+            n = self._read(seen["delta"]).count()
+        result = {"mutations_processed": n, "duration_ms": int((time.time() - began) * 1000), "bloom_filter_built": True, "index_built": True}
         if self.store.hooks.on_compact:
             self.store.hooks.on_compact(self.name, result)
         return result
@@ -333,12 +420,12 @@ class Collection:
     def vacuum(self) -> dict:
         """Of the base only the last version of each id stays, and none of a deleted one; pending commits are left alone."""
         began = time.time()
-        m = self.manifest()
-        if not m["base"]:
-            return {"records_removed": 0, "duration_ms": 0}
-        before = self._base(m).count()
-        folder, _ = self._rewrite(lambda x: maintenance.vacuumed(self._base(x)), False)
-        after = self.spark.read.schema(STORED).parquet(f"{self.root}/{folder}").count()
+        with self.lease(vacuum=True):
+            if not self.manifest()["base"]:
+                return {"records_removed": 0, "duration_ms": 0}
+            folder, seen = self._rewrite(lambda x: maintenance.vacuumed(self._base(x)), False)
+            before = self._base(seen).count()
+            after = self.spark.read.schema(STORED).parquet(f"{self.root}/{folder}").count()
         result = {"records_removed": before - after, "duration_ms": int((time.time() - began) * 1000)}
         if self.store.hooks.on_vacuum:
             self.store.hooks.on_vacuum(self.name, result)
@@ -371,6 +458,35 @@ class Collection:
                 removed += 1
         return removed
 
+    def start_maintenance(self, compact_every_s: float | None = None, vacuum_every_s: float | None = None) -> None:
+        """Compact and vacuum at intervals, in threads of the driver, until `stop_maintenance`. Conflicts are passed over, other
+        failures go to on_error."""
+        self.stop_maintenance()
+        self._stop = stop = threading.Event()
+
+        def work(name: str, every: float) -> None:
+            while not stop.wait(every):
+                try:
+                    getattr(self, name)()
+                except LockActiveError:
+                    pass
+                except Exception as e:
+                    log.warning("%s of %s failed: %s", name, self.name, e)
+                    if self.store.hooks.on_error:
+                        self.store.hooks.on_error(e)
+
+        self._workers = [threading.Thread(target=work, args=(n, s), daemon=True) for n, s in (("compact", compact_every_s), ("vacuum", vacuum_every_s)) if s is not None]
+        for t in self._workers:
+            t.start()
+
+    def stop_maintenance(self) -> None:
+        """Stop what `start_maintenance` started; waits for work that is under way."""
+        if self._stop is not None:
+            self._stop.set()
+            for t in self._workers:
+                t.join()
+            self._stop, self._workers = None, []
+
     def _maintain(self) -> None:
         """What the policy asks for after a commit. Conflicts are passed over; other failures are retried, then reported."""
         policy, rng = self.store.policy, self.store.rng
@@ -404,15 +520,16 @@ class Transaction:
     def put(self, collection: str | Collection, doc: dict) -> None:
         c = self.store._of(collection)
         before = c.get(doc["id"])
-        c.put(doc)
+        # noted first: a hook may raise after the write
         self._undo.append((lambda: c.put(before)) if before is not None else (lambda: c.delete(doc["id"])))
+        c.put(doc)
 
     def delete(self, collection: str | Collection, id: str) -> None:
         c = self.store._of(collection)
         before = c.get(id)
-        c.delete(id)
         if before is not None:
             self._undo.append(lambda: c.put(before))
+        c.delete(id)
 
     def get(self, collection: str | Collection, id: str) -> dict | None:
         return self.store._of(collection).get(id)
@@ -471,6 +588,18 @@ class Store:
         fs = Hdfs(self.spark, self.root)
         return [n for n, _ in fs.files(self.root) if NAME.match(n) and fs.exists(f"{self.root}/{n}/manifest")]
 
+    def stats(self, name: str) -> dict:
+        """``{collection, count, size}`` of a collection that exists."""
+        return self.existing(name).stats()
+
+    def existing(self, name: str) -> Collection:
+        """A collection with the options it was made with."""
+        if check_name(name) not in self.names():
+            raise KeyError(name)
+        fs = Hdfs(self.spark, self.root)
+        newest = [n for n, _ in fs.files(f"{self.root}/{name}/manifest") if not n.startswith(".")][-1]
+        return self._opened(name, Options(**json.loads(fs.read_text(f"{self.root}/{name}/manifest/{newest}"))["options"]))
+
     def transaction(self, body: Callable[[Transaction], object]) -> object:
         """Run ``body``; if it raises, its writes are undone and `TransactionError` is raised."""
         return Transaction(self)._run(body)

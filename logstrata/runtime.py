@@ -124,15 +124,43 @@ class Hdfs:
             stream.close()
 
     def create(self, path: str, text: str) -> bool:
-        """Create exclusively; False where ``path`` exists."""
+        """Create exclusively and whole; False where ``path`` exists.
+
+        On a local disk the text is written beside it and linked to its name, elsewhere it's renamed, which both fail where the name
+        is taken. Object stores show an object only once it's written; there its exclusive creation is used.
+        """
+        kind = self._fs.getScheme()
+        whole = kind in ("s3a", "s3", "gs", "wasb", "wasbs")
+        aside = path if whole else f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}.tmp"
         try:
-            out = self._fs.create(self._p(path), False)
+            out = self._fs.create(self._p(aside), False)
         except Exception as e:
-            if "AlreadyExists" in str(e) or "already exists" in str(e):
+            if whole and ("AlreadyExists" in str(e) or "already exists" in str(e)):
                 return False
             raise
         try:
             out.write(bytearray(text.encode()))
         finally:
             out.close()
-        return True
+        if whole:
+            return True
+        try:
+            if kind == "file":
+                local = lambda x: self._fs.pathToFile(self._p(x)).toPath()
+                self._jvm.java.nio.file.Files.createLink(local(path), local(aside))
+                return True
+            return not self.exists(path) and self._fs.rename(self._p(aside), self._p(path))
+        except Exception as e:
+            if "FileAlreadyExists" in str(e):
+                return False
+            raise
+        finally:
+            self.delete(aside)
+
+    def size(self, path: str) -> int | None:
+        """Bytes of a file, None where there is none."""
+        return self._fs.getFileStatus(self._p(path)).getLen() if self.exists(path) else None
+
+    def bytes_in(self, path: str) -> int:
+        """Bytes of the Parquet files directly in ``path``."""
+        return sum(size for name, size in self.files(path) if name.endswith(".parquet"))

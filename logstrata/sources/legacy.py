@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.state import as_of
 from ..runtime import Hdfs
 
 # The names of a collection's files, and the folder listing of a catalog.
 PENDING = r"\.mutation\.([0-9]+)-"
 COLLECTION = r"^([^.]+)\."
 
+#: Milliseconds that a file's name may be later than the time of its records: they are stamped before the file is named and written.
+STAMP_AHEAD = 60_000
+
 SCHEMA = "id string, deleted boolean, ts bigint, ord struct<src:int,file:string,block:bigint,row:bigint,pos:int>, data variant"
 
 
-def read_log(spark: SparkSession, folder: str, collection: str) -> DataFrame:
+def read_log(spark: SparkSession, folder: str, collection: str, at: int | None = None) -> DataFrame:
     """All stored versions of ``collection`` in ``folder`` as a log whose document is the VARIANT column ``data``.
 
     The order of storage is that of the main file's lines, then of the pending files by name, then of the places in a file.
     Blank and malformed lines, malformed files and records that are no array of two or more are passed over. ``data`` null is a
     deletion; a ts that is missing or no number is null. A folder without such files gives no rows.
+
+    With ``at``, versions of that time or before. A pending file is named after its records were stamped, so what its name says is
+    no bound from above; but files come in order, and a writer's stamps rise by steps of a call. Files named more than STAMP_AHEAD
+    after ``at`` aren't opened.
     """
     names = [n for n, _ in Hdfs(spark, folder).files(folder)]
     parts = []
@@ -35,7 +45,7 @@ def read_log(spark: SparkSession, folder: str, collection: str) -> DataFrame:
         )
         order = F.struct(F.lit(0).alias("src"), F.lit("").alias("file"), "block", "row", F.lit(0).alias("pos"))
         parts.append(lines.where(_is_record(record)).select(*tail, order.alias("ord"), F.try_variant_get(record, "$[1]", "variant").alias("data")))
-    pending = [n for n in names if n.startswith(f"{collection}.mutation.")]
+    pending = [n for n in names if n.startswith(f"{collection}.mutation.") and (at is None or not _later(n, at))]
     if pending:
         whole = spark.read.text([f"{folder}/{n}" for n in pending], wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.try_parse_json("value").alias("v"))
         each = whole.select("file", F.posexplode(F.try_variant_get("v", "$", "array<variant>")).alias("pos", "r"))
@@ -46,7 +56,13 @@ def read_log(spark: SparkSession, folder: str, collection: str) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return as_of(out, at)
+
+
+def _later(name: str, at: int) -> bool:
+    """Whether a pending file was named so long after ``at`` that its records can't be of that time."""
+    found = re.search(PENDING, name)
+    return found is not None and int(found[1]) > at + STAMP_AHEAD
 
 
 def _is_record(r):
@@ -56,8 +72,6 @@ def _is_record(r):
 
 def list_collections(spark: SparkSession, folder: str) -> list[str]:
     """The names of all collections with a file in ``folder``, sorted."""
-    import re
-
     return sorted({m[1] for n, _ in Hdfs(spark, folder).files(folder) if (m := re.match(COLLECTION, n))})
 
 

@@ -9,25 +9,20 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.store import Collection
 
 
-def ingest(stream: DataFrame, collection: Collection, checkpoint: str, deleted: str | None = None, available_now: bool = True) -> StreamingQuery:
+def ingest(stream: DataFrame, collection: Collection, checkpoint: str, deleted: str | None = None, order: str | None = None, available_now: bool = True,
+           name: str | None = None) -> StreamingQuery:
     """Append a stream of documents (``id`` and any columns) to ``collection``; rows whose column ``deleted`` is true delete.
 
-    A micro-batch that is repeated after a failure appends the same versions again, which changes no state: the latest version
-    of an id is the same. Within a batch puts come before deletions.
+    A micro-batch is one commit. Of several rows of one id in it the one highest in the column ``order`` counts (of equal ones the
+    deletion), so that a put after a deletion stays. Without ``order`` a batch has none but that of its rows in its partitions: give
+    one where an id can come twice. The collection keeps the number of the last batch of each stream, by ``name`` or else by the
+    path of the checkpoint, so a batch that is repeated after a failure isn't applied again.
     """
+    known = name or checkpoint
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch = batch.persist()
-        try:
-            gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
-            docs = batch.where(~gone)
-            docs = docs.drop(deleted) if deleted else docs
-            if docs.limit(1).count():
-                collection.put_df(docs)
-            if deleted and batch.where(gone).limit(1).count():
-                collection.delete_df(batch.where(gone).select("id"))
-        finally:
-            batch.unpersist()
+    def write(batch: DataFrame, number: int) -> None:
+        gone = F.col(deleted) if deleted else None
+        collection.write_df(batch, gone, F.col(order) if order else None, (known, number))
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
