@@ -96,3 +96,26 @@ def parameters_column(df: DataFrame, parameters: Mapping[str, str], id_column: s
         if k not in RESERVED:
             out = out & (parameter_equals(k, kinds[k], v) if k in kinds else F.lit(False))
     return out
+
+
+def parameters_variant(docs: DataFrame, parameters: Mapping[str, str], doc: str = "doc", id_column: str = "id") -> Column:
+    """As `parameters_column`, over a VARIANT document: the type of the field in each document decides."""
+    out = F.lit(True)
+    if parameters.get("prefix"):
+        out = out & F.col(id_column).startswith(parameters["prefix"])
+    for name, text in parameters.items():
+        if name in RESERVED:
+            continue
+        path = "$['" + name.replace("'", "\\'") + "']"
+        field = F.try_variant_get(F.col(doc), path, "variant")
+        kind = F.schema_of_variant(field)
+        number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+        as_text = F.try_variant_get(F.col(doc), path, "string")
+        if text in ("true", "false"):
+            same = (kind == "BOOLEAN") & (F.try_variant_get(F.col(doc), path, "boolean") == F.lit(text == "true"))
+        elif _NUMERIC_TEXT.match(text):
+            same = F.when(number, F.try_variant_get(F.col(doc), path, "double") == F.lit(float(text))).otherwise(as_text == F.lit(text))
+        else:
+            same = as_text == F.lit(text)
+        out = out & F.coalesce(same, F.lit(False))
+    return out

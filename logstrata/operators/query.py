@@ -57,13 +57,9 @@ def find(log: DataFrame, where: Where = None, limit: int | None = None, offset:
     return docs.drop("first_seen")
 
 
-def list_request(log: DataFrame, parameters: dict[str, str], query: Callable[[DataFrame, str], DataFrame] | None = None, at: int | None = None,
-                 now: int | None = None, ttl: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """A page for request parameters, and one row ``(page_limit, page_offset, has_more)``.
-
-    ``limit`` is 20 by default and kept within 1 and 100, ``offset`` 0; texts that are no numbers count as absent. ``query``
-    with the parameter ``query`` or ``q`` changes the filtered documents before they are cut into pages.
-    """
+def page_bounds(parameters: dict[str, str]) -> tuple[int, int]:
+    """(limit, offset) of a request: ``limit`` is 20 by default and kept within 1 and 100, ``offset`` 0; texts that are no numbers
+    count as absent."""
 
     def number(name: str, default: int) -> int:
         try:
@@ -71,7 +67,17 @@ def list_request(log: DataFrame, parameters: dict[str, str], query: Callable[[Da
         except ValueError:
             return default
 
-    limit, offset = min(MOST_PAGE, max(1, number("limit", PAGE))), max(0, number("offset", 0))
+    return min(MOST_PAGE, max(1, number("limit", PAGE))), max(0, number("offset", 0))
+
+
+def list_request(log: DataFrame, parameters: dict[str, str], query: Callable[[DataFrame, str], DataFrame] | None = None, at: int | None = None,
+                 now: int | None = None, ttl: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """A page for request parameters, and one row ``(page_limit, page_offset, has_more)``.
+
+    ``limit`` and ``offset`` as in `page_bounds`. ``query`` with the parameter ``query`` or ``q`` changes the filtered documents
+    before they are cut into pages.
+    """
+    limit, offset = page_bounds(parameters)
     docs = with_first_seen(log, at, now, ttl)
     docs = docs.where(parameters_column(docs, parameters)).drop("deleted")
     asked = parameters.get("query") or parameters.get("q")

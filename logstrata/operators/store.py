@@ -204,7 +204,8 @@ class Collection:
         if b.ops:
             ts = monotonic_ms()
             rows = self._rows(b.ops, ts)
-            self._append(self.spark.createDataFrame(rows, "id string, deleted boolean, ts bigint, pos bigint, data string, vector array<double>"), len(rows), ts)
+            made = self.spark.createDataFrame(rows, "id string, deleted boolean, ts bigint, pos bigint, data string, vector array<double>")
+            self._append(made.coalesce(1), len(rows), ts)  # one file
 
     def put_df(self, df: DataFrame) -> None:
         """One atomic commit of a frame of any size: a row per document, with ``id`` and any columns. The limit of size holds for each

@@ -125,12 +125,14 @@ def get_one(spark, d):
     return query.get(ev(spark, d), "7").select(*_DOC)
 
 
-@_query(_EV + """, l AS (SELECT id, deleted, row_number() OVER (PARTITION BY id ORDER BY ord DESC) AS rn FROM ev), g AS (SELECT min(id) AS id FROM l WHERE rn = 1 AND deleted)
-SELECT l.id FROM l JOIN g USING (id) WHERE rn = 1 AND NOT deleted""")
+@_query(_EV + """, l AS (SELECT id, deleted, row_number() OVER (PARTITION BY id ORDER BY ord DESC) AS rn FROM ev), e AS (SELECT min(id) FILTER (deleted) AS gone, min(id) FILTER (NOT deleted) AS live FROM l WHERE rn = 1)
+SELECT gone AS deleted_id, live AS found FROM e""")
 def get_deleted(spark, d):
+    """Two reads at once, of an id that is deleted, though it has older versions, and of one that is live: only the latter is found."""
     log = ev(spark, d)
-    gone = state.latest(log).where("deleted").agg(F.min("id")).first()[0]
-    return query.get(log, gone or "").select("id")
+    last = state.latest(log).agg(F.min(F.when(F.col("deleted"), F.col("id"))).alias("gone"), F.min(F.when(~F.col("deleted"), F.col("id"))).alias("live")).first()
+    both = query.get(log, last["gone"] or "").unionByName(query.get(log, last["live"] or ""))
+    return both.select(F.lit(last["gone"]).alias("deleted_id"), F.col("id").alias("found"))
 
 
 @_query(_state(MID) + "SELECT id, event_type, value, props FROM st WHERE id = '7'")
@@ -166,10 +168,12 @@ def find_eq_multi(spark, d):
     return query.find(orders(spark, d), {"o_orderstatus": "F", "o_orderpriority": "1-URGENT"}).select("id", "o_totalprice")
 
 
-@_query("SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE false")
+@_query("SELECT CAST(o_orderkey AS VARCHAR) AS id, 'number' AS asked FROM orders WHERE o_custkey = 7")
 def find_no_coercion(spark, d):
-    """A number never equals a text."""
-    return query.find(orders(spark, d), {"o_custkey": "1"}).select("id")
+    """A number never equals a text: asked for by both, only the number is found."""
+    log = orders(spark, d)
+    by_text, by_number = query.find(log, {"o_custkey": "7"}), query.find(log, {"o_custkey": 7})
+    return by_text.select("id", F.lit("text").alias("asked")).unionByName(by_number.select("id", F.lit("number").alias("asked")))
 
 
 @_query(_state() + "SELECT id, event_type, value FROM st WHERE value > 20 AND value <= 60 AND event_type <> 'view'")
@@ -260,11 +264,6 @@ def _halves(spark, d):
     return log.where(F.col("ts") <= MID), log.where(F.col("ts") > MID)
 
 
-@_query(_EV + " SELECT id, ord, deleted, event_type FROM ev")
-def compact_result(spark, d):
-    return maintenance.compacted(*_halves(spark, d)).select("id", "ord", "deleted", "event_type")
-
-
 @_query(_EV + f" SELECT count(*) FILTER (ts > {MID}) AS mutations_processed, count(*) AS versions FROM ev")
 def compact_stats(spark, d):
     return maintenance.compaction_stats(*_halves(spark, d))
@@ -280,26 +279,6 @@ def vacuum_stats(spark, d):
     return maintenance.vacuum_stats(ev(spark, d))
 
 
-@_query("""SELECT collection, count(*) AS versions, count(DISTINCT id) AS ids FROM tx_operations WHERE type IN ('put', 'delete') GROUP BY collection""")
-def catalog_list(spark, d):
-    t = table(spark, d, "tx_operations").where(F.col("type").isin("put", "delete"))
-    ids = t.groupBy("collection", "id").agg(F.count(F.lit(1)).alias("n"))
-    return ids.groupBy("collection").agg(F.sum("n").alias("versions"), F.count(F.lit(1)).alias("ids"))
-
-
-@_query(_state() + "SELECT 'events' AS collection, count(*) AS count, (SELECT count(*) FROM ev) AS versions FROM st")
-def collection_stats(spark, d):
-    s = maintenance.vacuum_stats(ev(spark, d))
-    return s.select(F.lit("events").alias("collection"), F.col("kept").alias("count"), F.col("scanned").alias("versions"))
-
-
-@_query("SELECT id, v FROM (VALUES ('a', 2), ('c', 1)) t(id, v)")
-def put_batch_order(spark, d):
-    """Twice the same id in one batch: the later place wins."""
-    rows = [("a", False, 5, 0, 1), ("a", False, 5, 1, 2), ("b", False, 5, 2, 1), ("b", True, 5, 3, None), ("c", True, 5, 4, None), ("c", False, 5, 5, 1)]
-    return state.current_state(spark.createDataFrame(rows, "id string, deleted boolean, ts bigint, ord bigint, v int")).select("id", "v")
-
-
 # vectors
 
 @_query(_VEC + f"SELECT id, {_DOT} AS score FROM v, q ORDER BY score DESC, id LIMIT 10")
@@ -400,9 +379,9 @@ def _customers(spark, d, name="customers"):
     return s, c, t
 
 
-def _named(c):
+def _named(c, at=None):
     doc = F.try_parse_json("data")
-    return c.documents().select("id", F.try_variant_get(doc, "$.c_name", "string").alias("c_name"), F.try_variant_get(doc, "$.c_nationkey", "int").alias("c_nationkey"))
+    return c.documents(at).select("id", F.try_variant_get(doc, "$.c_name", "string").alias("c_name"), F.try_variant_get(doc, "$.c_nationkey", "int").alias("c_nationkey"))
 
 
 @_query("SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_nationkey = 3 THEN 'moved' ELSE c_name END AS c_name, c_nationkey FROM customer WHERE c_custkey % 7 <> 0")
@@ -474,3 +453,156 @@ def store_vector_search(spark, d):
         c.put_df(log.where(F.col("ord") == n).select("id", "vector", "label"))
     c.delete_df(log.where("ord = 2").select("id"))
     return c.search(_first_vector(spark, d), 10).select("id", "score")
+
+
+_COMMITS = "(SELECT count(*) FROM customer) + (SELECT count(*) FROM customer WHERE c_nationkey = 3)"
+
+
+@_query("SELECT collection FROM (VALUES ('a-1'), ('customers'), ('vectors')) t(collection)")
+def catalog_list(spark, d):
+    """The names of all collections of a store, whatever else lies in its folder."""
+    s, _, _ = _customers(spark, d)
+    s.vector_collection("vectors", 2)
+    s.collection("a-1")
+    spark.range(1).write.parquet(f"{s.root}/other")
+    return spark.createDataFrame([(n,) for n in s.names()], "collection string")
+
+
+@_query("SELECT 'customers' AS collection, (SELECT count(*) FROM customer WHERE c_custkey % 7 <> 0) AS count, false AS sized, true AS sized_after, CAST(2 AS BIGINT) AS pending, CAST(0 AS BIGINT) AS pending_after")
+def collection_stats(spark, d):
+    """Live documents and bytes of the base, before and after a compaction, and the pending commits."""
+    s, c, t = _customers(spark, d)
+    c.delete_df(t.where("c_custkey % 7 = 0").select(F.col("c_custkey").cast("string")))
+    before, pending = s.stats("customers"), c.count_pending()
+    c.compact()
+    after = s.stats("customers")
+    assert before["count"] == after["count"]
+    row = (after["collection"], after["count"], before["size"] > 0, after["size"] > 0, pending, c.count_pending())
+    return spark.createDataFrame([row], "collection string, count bigint, sized boolean, sized_after boolean, pending bigint, pending_after bigint")
+
+
+@_query("SELECT id, v FROM (VALUES ('a', 2), ('c', 1)) t(id, v)")
+def put_batch_order(spark, d):
+    """Twice the same id in one batch: the later place wins."""
+    c = _store(spark).collection("batch")
+    c.batch(lambda b: [b.put({"id": "a", "v": 1}), b.put({"id": "a", "v": 2}), b.put({"id": "b", "v": 1}), b.delete("b"), b.delete("c"), b.put({"id": "c", "v": 1})])
+    return c.documents().select("id", F.try_variant_get(F.try_parse_json("data"), "$.v", "int").alias("v"))
+
+
+@_query(f"SELECT {_COMMITS} AS mutations_processed, true AS bloom_filter_built, true AS index_built, {_COMMITS} AS versions, (SELECT count(*) FROM customer) AS n")
+def compact_result(spark, d):
+    """What a compaction of two commits reports, the versions it keeps and the documents they make."""
+    _, c, t = _customers(spark, d)
+    c.put_df(t.where("c_nationkey = 3").select(F.col("c_custkey").cast("string").alias("id"), F.lit("moved").alias("c_name"), "c_nationkey"))
+    r = c.compact()
+    row = (r["mutations_processed"], r["bloom_filter_built"], r["index_built"], c.read().count(), c.count())
+    return spark.createDataFrame([row], "mutations_processed bigint, bloom_filter_built boolean, index_built boolean, versions bigint, n bigint")
+
+
+@_query("SELECT CAST(c_custkey AS VARCHAR) AS id, c_name, c_nationkey, CAST(1 AS BIGINT) AS opened FROM customer")
+def store_asof(spark, d):
+    """The documents as of a time between two commits; only the first commit is opened."""
+    from ..operators.store import monotonic_ms
+
+    _, c, t = _customers(spark, d)
+    between = monotonic_ms()
+    c.put_df(t.select(F.col("c_custkey").cast("string").alias("id"), F.lit("later").alias("c_name"), F.lit(99).alias("c_nationkey")))
+    folders = {f.rsplit("/", 2)[-2] for f in c.read(at=between).inputFiles()}
+    return _named(c, at=between).withColumn("opened", F.lit(len(folders)).cast("bigint"))
+
+
+@_query(_state() + f"SELECT (SELECT count(*) FROM st WHERE expires_at < {NOW}) AS removed, (SELECT count(*) FROM st WHERE expires_at >= {NOW}) AS left_over, CAST(0 AS BIGINT) AS again")
+def store_delete_expired(spark, d):
+    c = _store(spark).collection("events", ttl="expires_at")
+    c.put_df(state.current_state(evx(spark, d)).select("id", "event_type", "expires_at"))
+    removed = c.delete_expired(NOW)
+    return spark.createDataFrame([(removed, c.count(now=0), c.delete_expired(NOW))], "removed bigint, left_over bigint, again bigint")
+
+
+@_query("""SELECT CAST(c_custkey AS VARCHAR) AS id, c_name FROM (SELECT * FROM customer WHERE c_nationkey = 4 AND starts_with(CAST(c_custkey AS VARCHAR), '1'))
+WHERE (SELECT count(*) FROM customer WHERE c_nationkey = 4 AND starts_with(CAST(c_custkey AS VARCHAR), '1')) <= 100""")
+def request_list(spark, d):
+    """A list request to a store, by prefix and the number of a nation given as text, in pages of at most 100; no rows where the last page
+    doesn't say that nothing follows."""
+    from ..operators.requests import Requests
+
+    s, _, _ = _customers(spark, d)
+    pages = Requests(s)
+    page = pages.list("customers", {"prefix": "1", "c_nationkey": "4.0", "limit": "1000"})
+    rows = [(x["id"], x["c_name"]) for x in page["data"]] if not page["pagination"]["has_more"] else []
+    return spark.createDataFrame(rows, "id string, c_name string")
+
+
+@_query("SELECT id, found, n FROM (VALUES ('1', true, 5), ('2', false, NULL), ('new', true, 1)) t(id, found, n)")
+def request_documents(spark, d):
+    """Put, delete and get by request."""
+    from ..operators.requests import Requests
+
+    s, _, _ = _customers(spark, d)
+    r = Requests(s)
+    r.put("customers", "1", {"id": "other", "n": 5})
+    r.delete("customers", "2")
+    r.transaction([{"type": "put", "collection": "customers", "id": "new", "data": {"n": 1}}])
+    rows = []
+    for i in ("1", "2", "new"):
+        try:
+            rows.append((i, True, r.get("customers", i)["n"]))
+        except KeyError:
+            rows.append((i, False, None))
+    return spark.createDataFrame(rows, "id string, found boolean, n int")
+
+
+@_query(_VEC + f"SELECT id, {_COS} AS score FROM v, q ORDER BY score DESC, id LIMIT 100")
+def vec_request(spark, d):
+    """A search request that asks for more than it gets: at most 100."""
+    from ..operators.requests import Requests
+
+    s = _store(spark)
+    s.vector_collection("vectors", 64).put_df(plain_vec(spark, d).select("id", "vector", "label"))
+    found = Requests(s).search("vectors", {"vector": _first_vector(spark, d), "k": 5000, "metric": "cosine"})
+    return spark.createDataFrame([(x["id"], x["score"]) for x in found], "id string, score double")
+
+
+# log files of JSON text
+
+def _legacy(spark, d):
+    """EV as a main file of lines, and two pending files."""
+    from ..runtime import Hdfs, scratch_path
+
+    folder = scratch_path(spark, "legacy")
+    log = ev(spark, d).coalesce(1).sortWithinPartitions("ord")  # a main file is one file
+    data = F.when(F.col("deleted"), "null").otherwise(F.to_json(F.struct("event_type", "value")))
+    log.select(F.concat(F.lit('["'), "id", F.lit('",'), data, F.lit(","), "ts", F.lit("]"))).write.text(f"{folder}/ev.jsonl")
+    fs = Hdfs(spark, folder)
+    fs.create(f"{folder}/ev.mutation.{LATE}-a", f'[["1",{{"event_type":"new"}},{LATE - 1}],["2",null,{LATE - 1}],"odd"]')
+    fs.create(f"{folder}/ev.mutation.{NOW}-b", f'[["2",{{"event_type":"again"}},{NOW - 1}],["only",{{"event_type":"new"}},{NOW - 1}]]')
+    fs.create(f"{folder}/ev.mutation.{NOW + 1}-c", "[[broken")
+    return folder
+
+
+_LEGACY = _EV + f""", lg AS (SELECT id, deleted, ts, 0 AS src, ord, CASE WHEN NOT deleted THEN event_type END AS event_type FROM ev
+UNION ALL SELECT * FROM (VALUES ('1', false, {LATE - 1}, 1, 0, 'new'), ('2', true, {LATE - 1}, 1, 1, NULL), ('2', false, {NOW - 1}, 1, 2, 'again'), ('only', false, {NOW - 1}, 1, 3, 'new')) t)"""
+
+
+@_query(_LEGACY + " SELECT id, deleted, ts, event_type FROM lg")
+def legacy_scan(spark, d):
+    from ..sources import legacy
+
+    return legacy.read_log(spark, _legacy(spark, d), "ev").select("id", "deleted", "ts", F.try_variant_get("data", "$.event_type", "string").alias("event_type"))
+
+
+@_query(_LEGACY + " SELECT id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY src DESC, ord DESC) AS rn FROM lg) WHERE rn = 1 AND NOT deleted")
+def legacy_state(spark, d):
+    from ..sources import legacy
+
+    return state.current_state(legacy.read_log(spark, _legacy(spark, d), "ev")).select("id", F.try_variant_get("data", "$.event_type", "string").alias("event_type"))
+
+
+@_query(_LEGACY + f" SELECT id, event_type, CAST(1 AS BIGINT) AS pending_opened FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY src DESC, ord DESC) AS rn FROM lg WHERE ts <= {LATE}) WHERE rn = 1 AND NOT deleted")
+def legacy_asof(spark, d):
+    """As of a time; pending files named long after it aren't opened."""
+    from ..sources import legacy
+
+    log = legacy.read_log(spark, _legacy(spark, d), "ev", at=LATE)
+    opened = sum(".mutation." in f for f in log.inputFiles())
+    return state.current_state(log, at=LATE).select("id", F.try_variant_get("data", "$.event_type", "string").alias("event_type"), F.lit(opened).cast("bigint").alias("pending_opened"))

@@ -69,3 +69,29 @@ def test_search_metrics_thresholds_and_odd_vectors(spark):
         search.search(log, [1, 0], 3)
     many = search.search_many(log.where("not deleted"), spark.createDataFrame([("q", [1.0, 0.0, 0.0]), ("bad", [1.0])], "query_id string, query array<double>"), 3, 2)
     assert sorted((r.query_id, r.id, r["rank"]) for r in many.collect()) == [("q", "a", 1), ("q", "c", 2)]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "dotProduct"])
+def test_many_searches_by_blocks_equal_brute_force(spark, metric):
+    import random
+
+    r = random.Random(5)
+    docs = [(f"d{i:03d}", [r.choice([0.0, 1.0, 2.0]) for _ in range(3)]) for i in range(150)] + [("null", None), ("short", [1.0]), (None, [1.0, 1.0, 1.0])]
+    asked = [(f"q{i}", [r.choice([0.0, 1.0]) for _ in range(3)]) for i in range(9)] + [("zero", [0.0] * 3), ("bad", None)]
+    df = spark.createDataFrame([(*d, 1, 1.0) for d in docs], "id string, vector array<double>, block int, score double")
+    got = search.search_many(df, spark.createDataFrame(asked, "query_id string, query array<double>"), 3, 7, metric, block_rows=20)
+
+    def score(a, b):
+        dot = sum(x * y for x, y in zip(a, b))
+        if metric == "euclidean":
+            return round(sum((x - y) ** 2 for x, y in zip(a, b)) ** 0.5, 6)
+        norms = (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+        return dot if metric == "dotProduct" else round(dot / norms, 6) if norms else 0.0
+
+    want = set()
+    for q, v in asked:
+        if v is not None:
+            best = sorted(((score(v, x) * (1 if metric == "euclidean" else -1), i) for i, x in docs if i and x and len(x) == 3))[:7]
+            want |= {(q, i, n + 1) for n, (_, i) in enumerate(best)}
+    assert {(x.query_id, x.id, x["rank"]) for x in got.collect()} == want
+    assert search.search_many(df.limit(0), spark.createDataFrame(asked, "query_id string, query array<double>"), 3).count() == 0

@@ -4,8 +4,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from logstrata.errors import InvalidNameError, LockActiveError, OptionsMismatchError, SizeLimitError, TransactionError, VectorDimensionError
+from logstrata.errors import CorruptionError, InvalidNameError, LockActiveError, OptionsMismatchError, SizeLimitError, TransactionError, VectorDimensionError
 from logstrata.operators.maintenance import ALWAYS
+from logstrata.operators.requests import Requests
 from logstrata.operators.store import Hooks, Store, check_name, monotonic_ms
 from logstrata.runtime import Hdfs
 from logstrata.sources import legacy
@@ -162,3 +163,158 @@ def test_exclusive_create(spark, tmp_path):
     fs = Hdfs(spark, f"file://{tmp_path}")
     assert fs.create(f"file://{tmp_path}/x", "1") and not fs.create(f"file://{tmp_path}/x", "2")
     assert fs.read_text(f"file://{tmp_path}/x") == "1"
+
+
+def test_a_half_written_manifest_is_told(store):
+    c = store.collection("m")
+    c.put({"id": "1"})
+    newest = c._manifest_path(c.version() + 1)
+    out = c._fs._fs.create(c._fs._p(newest), False)  # as a writer that isn't ours might leave it
+    out.write(bytearray(b'{"base": ['))
+    out.close()
+    with pytest.raises(CorruptionError):
+        c.count()
+    assert c.read(2).count() == 1
+
+
+def test_created_files_are_whole_and_exclusive(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    fs = Hdfs(spark, f"file://{tmp_path}")
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: fs.create(f"file://{tmp_path}/x", str(i) * 1000), range(8)))
+    assert sum(won) == 1 and fs.read_text(f"file://{tmp_path}/x") == str(won.index(True)) * 1000
+    assert [n for n, _ in fs.files(f"file://{tmp_path}") if n != "x"] == [] and fs.size(f"file://{tmp_path}/x") == 1000 and fs.size(f"file://{tmp_path}/y") is None
+
+
+def test_compaction_is_cut_by_the_bytes_that_are_pending(spark, store, monkeypatch):
+    from logstrata.operators import store as module
+
+    c = store.collection("big")
+    c.put_df(spark.range(4000).selectExpr("CAST(id AS STRING) AS id", "sha2(CAST(id AS STRING), 256) AS h"))
+    monkeypatch.setattr(module, "BASE_FILE", 60_000)
+    c.compact()
+    base = c.manifest()["base"][0]
+    assert len([n for n, _ in c._fs.files(f"{c.root}/{base}") if n.endswith(".parquet")]) >= 4
+    assert c.count() == 4000 and store.stats("big")["size"] > 60_000
+
+
+def test_bulk_writes_have_the_limit_of_size_for_each_document(spark, store):
+    c = store.collection("l", size_limit=200)
+    c.put_df(spark.range(50).selectExpr("CAST(id AS STRING) AS id", "repeat('x', 100) AS t"))
+    with pytest.raises(SizeLimitError) as e:
+        c.put_df(spark.range(5).selectExpr("CAST(id AS STRING) AS id", "repeat('x', CAST(100 * id AS INT)) AS t"))
+    assert e.value.limit == 200 and e.value.size > 200 and c.count() == 50
+
+
+def test_a_lease_keeps_a_second_maintainer_out(store):
+    c = store.collection("k")
+    c.put({"id": "1"})
+    with c.lease():
+        with pytest.raises(LockActiveError):
+            c.compact()
+    assert c.compact()["bloom_filter_built"] and not c.compact()["index_built"]
+    # one that has lapsed is taken over
+    names = [n for n, _ in c._fs.files(f"{c.root}/lease")]
+    c._fs.create(c._lease_path(int(names[-1][:-5]) + 1), json.dumps({"session": "dead", "expires_at": monotonic_ms() - 1000}))
+    c.put({"id": "2"})
+    assert c.compact()["mutations_processed"] == 1 and c.vacuum()["records_removed"] == 0
+
+
+def test_scheduled_maintenance(store):
+    import time
+
+    c = store.collection("timed")
+    c.put({"id": "1"})
+    c.start_maintenance(compact_every_s=0.1)
+    for _ in range(200):
+        time.sleep(0.1)
+        if c.count_pending() == 0:
+            break
+    c.stop_maintenance()
+    c.stop_maintenance()
+    assert c.count_pending() == 0 and c.get("1") == {"id": "1"}
+    errors = []
+    store.hooks.on_error = errors.append
+    c.compact = lambda: 1 / 0
+    c.start_maintenance(compact_every_s=0.01)
+    time.sleep(0.3)
+    c.stop_maintenance()
+    assert errors and isinstance(errors[0], ZeroDivisionError)
+
+
+def test_a_read_as_of_a_time_opens_only_commits_of_that_time(store):
+    c = store.collection("p")
+    times = []
+    for n in range(4):
+        c.put({"id": "a", "n": n})
+        times.append(monotonic_ms())
+    assert [len(c.read(at=t).inputFiles()) for t in times] == [1, 2, 3, 4]
+    assert [c.get("a", at=t)["n"] for t in times] == [0, 1, 2, 3] and c.count(at=times[0] - 10**6) == 0
+    c.compact()
+    assert [c.get("a", at=t)["n"] for t in times] == [0, 1, 2, 3]
+
+
+def test_many_ids_and_counts(spark, store):
+    c = store.collection("many", ttl="e")
+    c.put_df(spark.range(1500).selectExpr("CAST(id AS STRING) AS id", "id AS e"))
+    assert len(c.get_many([str(i) for i in range(5000)], now=0)) == 1500
+    assert c.count(now=1000) == 500 and store.existing("many").options.ttl == "e"
+    with pytest.raises(KeyError):
+        store.stats("none")
+
+
+def test_a_transaction_undoes_a_write_whose_hook_raised(store):
+    c = store.collection("h")
+    c.put({"id": "1", "n": 1})
+
+    def once(*_):
+        store.hooks.on_write = None
+        raise OSError("hook")
+
+    store.hooks.on_write = once
+    with pytest.raises(TransactionError):
+        store.transaction(lambda tx: tx.put(c, {"id": "1", "n": 2}))
+    assert c.get("1")["n"] == 1
+
+
+def test_requests(store):
+    r = Requests(store, query=lambda docs, q: docs.where(F.try_variant_get("doc", "$.n", "int") > int(q)))
+    for i in range(25):
+        r.put("d", f"x{i:02d}", {"id": "other", "n": i, "b": i % 2 == 0, "t": str(i % 3)})
+    first = r.list("d")
+    assert [x["id"] for x in first["data"]] == [f"x{i:02d}" for i in range(20)] and first["pagination"] == {"limit": 20, "offset": 0, "has_more": True}
+    assert [x["n"] for x in r.list("d", {"b": "true", "offset": "10", "limit": "nan"})["data"]] == [20, 22, 24]
+    assert [x["n"] for x in r.list("d", {"t": "2", "limit": "2"})["data"]] == [2, 5] and r.list("d", {"n": "7.0"})["data"][0]["n"] == 7
+    assert r.list("d", {"n": "true"})["data"] == [] and r.list("d", {"nope": "1"})["data"] == [] and len(r.list("d", {"prefix": "x1", "limit": "500"})["data"]) == 10
+    assert [x["n"] for x in r.list("d", {"q": "22"})["data"]] == [23, 24]
+    assert r.delete("d", "x00") == {"id": "x00", "deleted": True} and r.delete("d", "unknown")["deleted"]
+    with pytest.raises(KeyError):
+        r.get("d", "x00")
+    with pytest.raises(KeyError):
+        r.get("none", "x")
+    assert r.collections() == ["d"] and r.compact("d")["mutations_processed"] == 27 and r.stats("d")["count"] == 24 and r.vacuum("d")["records_removed"] == 3
+    v = store.vector_collection("v", 2)
+    v.batch(lambda b: [b.put({"id": f"{i:03d}", "vector": [1, i]}) for i in range(120)])
+    assert len(r.search("v", {"vector": [1, 0]})) == 10 and len(r.search("v", {"vector": [1, 0], "k": 1000})) == 100
+    assert r.search("v", {"vector": [1, 0], "k": 1})[0] == {"id": "000", "score": 1.0, "data": {"id": "000"}}
+    for bad in ({"vector": [1, 0], "k": -1}, {"vector": [1, 0], "k": "3"}):
+        with pytest.raises(ValueError):
+            r.search("v", bad)
+    with pytest.raises(OptionsMismatchError):
+        r.search("v", {"vector": [1, 0], "metric": "euclidean"})
+
+
+def test_ingestion_keeps_order_and_applies_a_batch_once(spark, tmp_path, store):
+    c = store.collection("i")
+    schema = "id string, n int, gone boolean, at int"
+    src = str(tmp_path / "src")
+    spark.createDataFrame([("a", 1, False, 1), ("a", None, True, 2), ("a", 3, False, 3), ("b", 1, False, 1), ("b", None, True, 9), (None, 1, False, 1)], schema).write.parquet(src)
+    ingest(spark.readStream.schema(schema).parquet(src), c, str(tmp_path / "cp"), "gone", "at").awaitTermination()
+    assert [(r.id, json.loads(r.data)["n"]) for r in c.documents().collect()] == [("a", 3)] and c.count_pending() == 1
+    # the batch comes again after a later write of another writer
+    c.put({"id": "a", "n": 4})
+    c.write_df(spark.createDataFrame([("a", 3)], "id string, n int"), stream=(str(tmp_path / "cp"), 0))
+    assert c.get("a")["n"] == 4 and c.count_pending() == 2
+    c.write_df(spark.createDataFrame([("a", 5)], "id string, n int"), stream=(str(tmp_path / "cp"), 1))
+    assert c.get("a")["n"] == 5
