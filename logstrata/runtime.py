@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import random
+import re
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 _LOCAL_DIRS: list[str] = []
 
 
@@ -86,6 +93,24 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
 
 
+# How often a call to the storage is tried, the seconds waited for after the first failure and at most, and what is
+# worth another try.
+ATTEMPTS, FIRST_WAIT, LONGEST_WAIT = 3, 0.1, 5.0
+PASSING = re.compile(r"ECONNRESET|ETIMEDOUT|ENOTFOUND|Connection reset|timed out|UnknownHost|SlowDown|ServiceUnavailable|[Ss]tatus(?: [Cc]ode)?:? ?(?:5\d\d|429)\b")
+
+
+def retried(call: Callable[[], T], attempts: int = ATTEMPTS, first_wait: float = FIRST_WAIT, sleep: Callable[[float], None] = time.sleep) -> T:
+    """``call()``, tried again after failures that may pass, with waits that double and vary by a tenth."""
+    for n in range(attempts):
+        try:
+            return call()
+        except Exception as e:
+            if n + 1 == attempts or not PASSING.search(str(e)):
+                raise
+            sleep(min(LONGEST_WAIT, first_wait * 2**n) * random.uniform(1, 1.1))
+    raise ValueError("no attempts")
+
+
 class Hdfs:
     """The few filesystem calls needed besides reading and writing DataFrames, on any Hadoop URI."""
 
@@ -114,14 +139,17 @@ class Hdfs:
         """(name, bytes) of the files directly in ``path``, sorted by name; empty where it doesn't exist."""
         if not self.exists(path):
             return []
-        return sorted((s.getPath().getName(), s.getLen()) for s in self._fs.listStatus(self._p(path)))
+        return retried(lambda: sorted((s.getPath().getName(), s.getLen()) for s in self._fs.listStatus(self._p(path))))
 
     def read_text(self, path: str) -> str:
-        stream = self._fs.open(self._p(path))
-        try:
-            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
+        def read() -> str:
+            stream = self._fs.open(self._p(path))
+            try:
+                return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+
+        return retried(read)
 
     def create(self, path: str, text: str) -> bool:
         """Create exclusively and whole; False where ``path`` exists.

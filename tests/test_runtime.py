@@ -43,3 +43,21 @@ def test_written_tables_and_spread_scans(spark, tmp_path):
     assert again.dtypes == df.dtypes and again.count() == 10
     one = spark.range(8).coalesce(1)
     assert runtime.spread(one).rdd.getNumPartitions() == 4 and runtime.spread(spark.range(8).repartition(6)).rdd.getNumPartitions() == 6
+
+
+def test_failures_that_may_pass_are_tried_again():
+    waits, calls = [], []
+
+    def call(errors):
+        calls.append(1)
+        if errors:
+            raise OSError(errors.pop(0))
+        return "done"
+
+    assert runtime.retried(lambda e=["Status Code: 503", "SlowDown"]: call(e), sleep=waits.append) == "done"
+    assert len(calls) == 3 and 0.1 <= waits[0] <= 0.11 and 0.2 <= waits[1] <= 0.22
+    with pytest.raises(OSError, match="no such file"):
+        runtime.retried(lambda: call(["no such file"]), sleep=waits.append)
+    with pytest.raises(OSError, match="timed out"):
+        runtime.retried(lambda: call(["timed out"]), sleep=waits.append)
+    assert len(waits) == 4
