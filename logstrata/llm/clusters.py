@@ -27,6 +27,8 @@ LEAST, DECIMALS = 0.82, 6
 #: Width of the band around a cell's border in which vectors meet the neighbours too: two vectors of LEAST are 0.6 apart, and a pair
 #: is missed if its part along the border's normal, about 0.6 / 8 at 64 dimensions, exceeds twice the width: four times as much.
 MARGIN = 0.15
+#: A word is hot if it makes up one of so many parts of all words of all texts; as many can be hot at most.
+HOT_WORDS = 1000
 #: Rounds of seeding, seeds drawn per round as a part of k, and rounds of moving the centroids.
 SEED_ROUNDS, OVERSAMPLING, MOVES = 4, 0.5, 4
 
@@ -35,14 +37,19 @@ def hashed_features(texts: DataFrame, dimension: int = DIMENSION) -> DataFrame:
     """``(id, vector array<double>)`` from ``(id, text)``: signed hashed words weighted by tf * log(1 + rows / rows with the word).
 
     Words are runs of letters and digits, lower-cased. The weights come from all rows; words are counted per row before the
-    shuffle. Rows whose text is null or holds no word get a zero vector, which no operator here uses.
+    shuffle. Words that make up a thousandth of all or more, so a thousand at most, are broadcast with their counts, so that a word of
+    every text isn't joined in one task. Rows whose text is null or holds no word get a zero vector, which no operator here uses.
     """
     words = texts.select("id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0)).alias("word")).groupBy("id", "word").agg(F.count(F.lit(1)).alias("tf"))
-    rarity = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    rarity = materialize(words.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "words")
+    total = rarity.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    often = F.col("df") * HOT_WORDS >= total
+    met = words.join(F.broadcast(rarity.where(often)), "word", "left")  # HOT_WORDS rows at most
+    weighted = met.where("df IS NOT NULL").unionByName(met.where("df IS NULL").drop("df").join(rarity.where(~often), "word"))
     rows = texts.agg(F.count(F.lit(1)).alias("rows"))
-    slot, sign = F.pmod(F.xxhash64("word"), F.lit(dimension)), F.when(F.pmod(F.xxhash64("word", F.lit(1)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    slot, sign = F.pmod(F.xxhash64("word"), F.lit(dimension)), F.when(F.pmod(F.xxhash64(F.lit(1), "word"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
     parts = (
-        words.join(rarity, "word").crossJoin(F.broadcast(rows))  # one row
+        weighted.crossJoin(F.broadcast(rows))  # one row
         .groupBy("id", slot.alias("slot")).agg(F.sum(sign * F.col("tf") * F.log1p(F.col("rows") / F.col("df"))).alias("x"))
         .groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "x"))).alias("m"))
     )
