@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import discard, materialize
-from .vectors import BLOCK_ROWS, DIMENSION, MAX_CELLS, ROWS_PER_CELL, cell_count, distinct_vectors, from_binary, marked, meet_in_blocks, packed, with_cells
+from .vectors import BLOCK_ROWS, DIMENSION, MAX_CELLS, cell_count, distinct_vectors, from_binary, marked, meet_in_blocks, packed, with_cells
 
 #: Least similarity of two members that are linked; decimals it is rounded to.
 LEAST, DECIMALS = 0.82, 6
@@ -29,6 +29,8 @@ LEAST, DECIMALS = 0.82, 6
 MARGIN = 0.15
 #: A word is hot if it makes up one of so many parts of all words of all texts; as many can be hot at most.
 HOT_WORDS = 1000
+#: Vectors aimed at for a cell; more of them make fewer cells, of which each vector probes fewer, for a larger product per cell.
+ROWS_PER_CELL = 2048
 #: Rounds of seeding, seeds drawn per round as a part of k, and rounds of moving the centroids.
 SEED_ROUNDS, OVERSAMPLING, MOVES = 4, 0.5, 4
 
